@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import bpe, language_id, simhash, token_counts, toxicity
+from vecloom.llm import bpe, language_id, mixing, simhash, token_counts, toxicity, warc
 from vecloom.llm.common import table
 
 
@@ -18,6 +18,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.assemble(warc.parse(warc.records_of_pages(table(spark, sf_dir, "pages"))))
+
+
+def warc_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.flat(op5_warc(spark, sf_dir))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.fit(docs))
@@ -32,12 +40,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
+    "warc_flat": warc_flat,
     "op6_language_id": op6_language_id,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "warc_flat": warc.FLAT_SQL,
+    "op10_mixing": mixing.SQL,
+}
