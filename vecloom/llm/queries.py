@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import bpe, language_id, mixing, simhash, token_counts, toxicity, warc
+from vecloom.llm import bpe, language_id, lm, mixing, simhash, token_counts, toxicity, warc
 from vecloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_lm": op3_lm,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "warc_flat": warc_flat,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_lm": lm.SQL,
     "warc_flat": warc.FLAT_SQL,
     "op10_mixing": mixing.SQL,
 }
