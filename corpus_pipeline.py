@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import bpe, language_id, toxicity
+from vecloom.llm import bpe, language_id, mixing, simhash, toxicity
 from vecloom.llm.common import shared_dir, table
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the documents that language ID rejects."""
-    return _without(docs, language_id.identify(docs, language_id.fit(docs)).where("rejected"))
+    return language_id.accepted(docs, language_id.fit(docs))
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without toxic documents."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(docs, model).where("toxic"))
+    return toxicity.civil(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one document of each group of near duplicates."""
+    dropped = simhash.deduplicate(docs).where(~F.col("keep")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that mixing chooses."""
+    return docs.join(mixing.mix(docs).select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,22 +37,19 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs)
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id"), "doc_id", "left_anti")
-
-
-STAGES = [("language ID", languages), ("toxicity", civil), ("BPE", tokens)]
+STAGES = [("language ID", languages), ("toxicity", civil), ("SimHash near-dedup", unique), ("mixing", mixed), ("BPE", tokens)]
 
 #: Language ID, toxicity, SimHash and BPE can't be expressed in SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of the documents that all stages keep; each stage's result is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{id(docs)}-{k}"
-            docs.write.mode("overwrite").parquet(path)
-            docs = spark.read.parquet(path)
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import hashed_order, map_arrow, slices
+from vecloom.llm.common import hashed_order, map_arrow, slices, where_text
 
 SCHEMA = "lang_pred string, similarity double, rejected boolean"
 _MUL = np.uint32(2654435761)
@@ -196,3 +196,9 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         return step
 
     return map_arrow(docs.select(id_col, text_col), schema, start)
+
+
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that identify() doesn't reject; each row is judged for itself, whatever its id."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return where_text(docs, text_col, lambda: lambda texts: ~np.asarray(shared.value.classify(texts)[2], bool))

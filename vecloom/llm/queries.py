@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import bpe, language_id, lm, mixing, simhash, token_counts, toxicity, warc
+from vecloom.llm import ann, bpe, embedding_dedup, language_id, lm, mixing, simhash, token_counts, toxicity, warc
 from vecloom.llm.common import table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.deduplicate(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.deduplicate(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"))
 
@@ -49,18 +57,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op2_simhash": op2_simhash,
     "op3_lm": op3_lm,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
     "warc_flat": warc_flat,
     "op6_language_id": op6_language_id,
+    "op7_ann": op7_ann,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": embedding_dedup.SQL,
     "op3_lm": lm.SQL,
     "warc_flat": warc.FLAT_SQL,
     "op10_mixing": mixing.SQL,

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import hashed_order, map_arrow, slices
+from vecloom.llm.common import hashed_order, map_arrow, slices, where_text
 
 SCHEMA = "toxicity double, toxic boolean, offending_at array<int>, offending array<string>"
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -151,3 +151,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         return step
 
     return map_arrow(docs.select(id_col, text_col), schema, start)
+
+
+def civil(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that score() doesn't call toxic; each row is judged for itself, whatever its id."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return where_text(docs, text_col, lambda: lambda texts: [not shared.value.judge(t)[1] for t in texts])
