@@ -45,8 +45,14 @@ def elements_within_length(c: Column | str, most: int) -> Column:
 
 
 def is_json_object(c: Column | str) -> Column:
-    """Text that is a JSON object; arrays, scalars and what can't be parsed are not."""
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
+    """Text that is a JSON object; arrays, scalars and what can't be parsed are not, nor is an object with text behind it.
+
+    The parser stops at the end of the first value. What follows an object can't continue both a list and an object.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    within = F.schema_of_variant(F.try_parse_json(F.concat(F.lit('{"x":'), c, F.lit("}"))))
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    return F.coalesce(within.startswith("OBJECT<x: OBJECT"), F.lit(False)) & listed.isNotNull()
 
 
 def rules(field: Field, kind: T.DataType) -> list[tuple[str, Column]]:
