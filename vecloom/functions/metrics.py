@@ -60,7 +60,7 @@ def l1(a, b) -> Column:
 
 
 def chebyshev(a, b) -> Column:
-    return _fold(_pairs(a, b, lambda x, y: F.abs(x - y)), F.greatest)
+    return _fold(_pairs(a, b, lambda x, y: F.abs(x - y)), lambda acc, x: F.greatest(acc, x))
 
 
 def inner_product(a, b) -> Column:

@@ -9,6 +9,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _drawn(ids: DataFrame, draw, seed: int) -> DataFrame:
@@ -93,7 +94,7 @@ def unproject(df: DataFrame, vector: str, components: np.ndarray, mean: np.ndarr
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, df.schema.add(out, "array<double>"))
+    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField(out, T.ArrayType(T.DoubleType()))]))
 
 
 def mixture(df: DataFrame, vector: str, components: int, seed: int = 42):

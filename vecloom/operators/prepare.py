@@ -60,7 +60,7 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     """All rows of all parts, columns by name; a part's missing columns are null."""
     if not parts:
         raise ValueError("nothing to unite")
-    out = parts[0]
+    out = parts[0].select("*")  # of rows, where it was a range
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
     return out

@@ -105,7 +105,7 @@ class Dataset:
         if not any(p.endswith(".parquet") for p, _ in self.files.files(self.path)):
             log.warning("%s has no files", self.path)
             return self.spark.createDataFrame([], schema.struct() if schema and self.split in WRITABLE else "id bigint")
-        return self.spark.read.option("pathGlobFilter", "*.parquet").parquet(self.path)
+        return self.spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(self.path)
 
     def read(self, mode: str = "stream", batch_size: int | None = 1000):
         """mode "frame" gives a DataFrame, "full" one pandas frame, "stream" pandas frames of one row, "batch" of batch_size.
