@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -41,12 +42,22 @@ class Model:
         return whole, whole >= self.threshold and len(at) > 0, at.tolist(), [parts[k] for k in at]
 
 
-def train(bags: list[list[list[str]]], labels: list[int], *, least_documents: int = 5, l2: float = 0.05, rounds: int = 200, threshold: float = 0.5) -> Model:
+def _log_tail(n: int, hits: int, rate: float) -> float:
+    """The logarithm of the chance of hits or more in n draws of the rate; 0 if that many are to be expected."""
+    if hits <= n * rate:
+        return 0.0
+    one = lambda k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(rate) + (n - k) * math.log1p(-rate)
+    parts = [one(k) for k in range(hits, min(n, hits + 50) + 1)]  # those beyond are smaller still
+    return max(parts) + math.log(sum(math.exp(x - max(parts)) for x in parts))
+
+
+def train(bags: list[list[list[str]]], labels: list[int], *, least_documents: int = 3, l2: float = 0.005, rounds: int = 200, threshold: float = 0.5) -> Model:
     """A leaky noisy-or over logistic sentence scores, fitted to the labels of bags of sentences of distinct words.
 
     P(toxic) = 1 - (1 - leak) * prod(1 - p(sentence)). The leak takes up documents whose label no sentence explains, so
     that they don't raise the score of every sentence; it is not part of the score. Without both labels the model
-    calls nothing toxic. Copies of a bag count once, words of fewer than least_documents bags not at all.
+    calls nothing toxic. Copies of a bag count once. Words of fewer than least_documents bags don't count, nor do words that
+    aren't in more toxic bags than chance gives one word of all (else rare words learn their documents' labels by heart).
     """
     seen: dict[tuple, int] = {}
     for bag, label in zip(bags, labels):
@@ -56,11 +67,15 @@ def train(bags: list[list[list[str]]], labels: list[int], *, least_documents: in
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -20.0, threshold)
-    df: dict[str, int] = {}
-    for bag in bags:
+    df: dict[str, list[int]] = {}
+    for bag, label in zip(bags, labels):
         for w in {w for s in bag for w in s}:
-            df[w] = df.get(w, 0) + 1
-    vocabulary = {w: k for k, w in enumerate(sorted(w for w, n in df.items() if n >= least_documents))}
+            n = df.setdefault(w, [0, 0])
+            n[0] += 1
+            n[1] += label
+    df = {w: n for w, n in df.items() if n[0] >= least_documents}
+    chance = math.log(max(1, len(df)))
+    vocabulary = {w: k for k, w in enumerate(sorted(w for w, (n, hits) in df.items() if _log_tail(n, hits, y.mean()) <= -chance))}
     row, col, bag_of = [], [], []
     for b, bag in enumerate(bags):
         for s in bag:
