@@ -26,12 +26,13 @@ def records_of_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     """(raw): a serialised request, response and metadata record for each page, as a crawler writes them.
 
     The request is concurrent to the response; so is the metadata of pages with an even id, while that of others is
-    concurrent to the request. Null urls and bodies count as empty; rows with a null id are left out, for they can't be
+    concurrent to the request. Null urls and bodies count as empty, and line ends in urls are
+    written as %0D and %0A; rows with a null id are left out, for they can't be
     named. Repeated rows give repeated records.
     """
     at = F.col(id_col).cast("string")
     rid = lambda kind: F.concat(F.lit("<urn:uuid:"), F.md5(F.concat(F.lit(f"{kind}:"), at)), F.lit(">"))
-    uri = F.coalesce(F.col(url_col), F.lit(""))
+    uri = F.replace(F.replace(F.coalesce(F.col(url_col), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.coalesce(F.col(html_col), F.lit("")))
     asked = F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1\r\nAccept: text/html\r\n\r\n"))
     about = F.concat(F.lit("via: "), uri, F.lit("\r\nbytes: "), F.octet_length(body).cast("string"))
@@ -48,13 +49,13 @@ def parse(raws: DataFrame, raw_col: str = "raw") -> DataFrame:
     """The columns of RECORD for each serialised record; what has no record id or type is left out."""
     head = F.substring_index(F.col(raw_col), "\r\n\r\n", 1)
     split = raws.select(F.col(raw_col).alias("raw"), head.alias("head"))
-    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*(.*?)[ \t]*$", 1), F.lit(""))
+    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?imd)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1), F.lit(""))
     return split.select(
         field("WARC-Record-ID").alias("record_id"),
         F.lower(field("WARC-Type")).alias("type"),
         field("WARC-Target-URI").alias("target_uri"),
         field("WARC-Date").alias("date"),
-        F.regexp_extract_all("head", F.lit(r"(?im)^WARC-Concurrent-To:[ \t]*(.*?)[ \t]*$"), F.lit(1)).alias("concurrent_to"),
+        F.regexp_extract_all("head", F.lit(r"(?imd)^WARC-Concurrent-To:[ \t]*(.*?)[ \t]*\r?$"), F.lit(1)).alias("concurrent_to"),
         F.expr("substring(raw, length(head) + 5, length(raw) - length(head) - 8)").alias("block"),
     ).where("record_id is not null and type is not null")
 
