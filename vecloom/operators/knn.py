@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.metrics import l2_norm, metric as metric_column
+from vecloom.sources.shared import cut
 
 #: Metrics that the kernel has.
 KERNEL = {"cosine", "euclidean", "l2", "sqeuclidean", "ip", "inner_product", "manhattan", "l1", "chebyshev"}
@@ -114,10 +115,11 @@ def knn(
     if where:
         train = train.where(F.expr(where))
     dim = _dim(test, train, vector)
+    # Numbers are given once: a plan that runs again, as after the loss of an executor, could number rows otherwise.
     queries = _checked(test, pk, vector, dim).withColumn("row", F.monotonically_increasing_id())
     rows = _checked(train, pk, vector, dim)
     if strategy == "native" or (strategy == "auto" and name not in KERNEL):
-        left, right = queries.withColumn("n", l2_norm("v")), rows.withColumn("n", l2_norm("v"))
+        left, right = cut(queries).withColumn("n", l2_norm("v")), rows.withColumn("n", l2_norm("v"))
         left = left.select("row", F.col("pk").alias("q_id"), F.col("v").alias("qv"), F.col("n").alias("qn"))
         right = right.select(F.col("pk").alias("t_id"), F.col("v").alias("tv"), F.col("n").alias("tn"))
         distance = column("qv", "tv", "qn", "tn") if name == "cosine" else column("qv", "tv")
@@ -181,7 +183,7 @@ def _kernel(queries: DataFrame, rows: DataFrame, dim: int, k: int, name: str, pr
 
     q_tiles, t_tiles = max(1, -(-n // tile_rows)), max(1, -(-rows.count() // (4 * tile_rows)))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = queries.withColumn("qt", F.pmod(F.xxhash64("row"), F.lit(q_tiles)).cast("int")).withColumn("tt", every(t_tiles))
+    left = cut(queries).withColumn("qt", F.pmod(F.xxhash64("row"), F.lit(q_tiles)).cast("int")).withColumn("tt", every(t_tiles))
     right = rows.withColumn("tt", F.pmod(F.xxhash64("pk"), F.lit(t_tiles)).cast("int")).withColumn("qt", every(q_tiles))
     return left.groupBy("qt", "tt").cogroup(right.groupBy("qt", "tt")).applyInArrow(tile, schema)
 
