@@ -9,7 +9,7 @@ from fixtures import documents, edge_rows, prose
 
 import corpus_pipeline
 from conftest import SF
-from vecloom.llm import bpe, language_id, lm, mixing, simhash, toxicity, warc
+from vecloom.llm import bpe, language_id, lm, mixing, toxicity, warc
 from vecloom.llm.queries import ORACLES, QUERIES
 
 
