@@ -116,28 +116,29 @@ def _lengths(s: np.ndarray, trees: int, recall: float) -> np.ndarray:
 
 
 def search(rows: DataFrame, asked: DataFrame, k: int, lead: int, tile: int) -> DataFrame:
-    """(id, dim, other, similarity): for each of asked (id, dim, tree, l) the k best rows that share the prefix of l bits."""
-    prefix = lambda l: F.expr(f"shiftright(h, {BITS} - {l})")
-    each = rows.select("id", "dim", "u", F.posexplode("h").alias("tree", "h"))
-    used = [r[0] for r in asked.where(F.col("l") < lead).select("l").distinct().collect()]  # at most lead lengths
+    """(id, dim, other, similarity): for each of asked (id, dim, ls, s) the k best rows of a similarity of s at least.
+
+    ls has a prefix length for each tree, -1 where it isn't searched. A row travels once per tree, as an answer and, if its
+    query stays in its cell, as a question too.
+    """
+    used = [r[0] for r in asked.select(F.explode("ls").alias("l")).where(f"l >= 0 and l < {lead}").distinct().collect()]  # at most lead lengths
     levels = F.array(*(F.lit(x).cast("int") for x in sorted({lead, *used})))
-    members = each.select("*", F.explode(levels).alias("bits")).withColumn("prefix", prefix("bits"))
-    queries = each.join(asked, ["id", "dim", "tree"]).withColumn("bits", F.least(F.col("l"), F.lit(lead))).withColumn("prefix", prefix("bits"))
+    each = rows.join(asked, ["id", "dim"]).select("id", "dim", "u", "s", F.posexplode(F.arrays_zip("h", "ls")).alias("tree", "x")).select("id", "dim", "u", "s", "tree", "x.h", F.col("x.ls").alias("own"), F.explode(levels).alias("bits"))
     key = ["dim", "tree", "bits", "prefix"]
-    wanted = queries.select(*key).groupBy(*key).agg(F.count(F.lit(1)).alias("_q"))
-    sized = members.groupBy(*key).agg(F.count(F.lit(1)).alias("_m")).join(wanted, key).select(*key, F.ceil(F.greatest("_m", "_q") / F.lit(tile)).cast("int").alias("cuts"))
-    own = F.expr("pmod(xxhash64(id), cuts)").cast("int")
-    every = F.sequence(F.lit(0), F.col("cuts") - 1)
-    out = ["id", "u", "h", *key]
-    as_member = members.join(sized, key).select(*out, F.lit(None).cast("int").alias("l"), F.explode(every).alias("a"), own.alias("b"))
-    as_query = queries.join(sized, key).select(*out, "l", own.alias("a"), F.explode(every).alias("b"))
+    here = F.when((F.col("own") >= 0) & (F.col("bits") == F.least("own", F.lit(lead))), F.col("own"))
+    each = each.withColumn("prefix", F.expr(f"shiftright(h, {BITS} - bits)")).withColumn("l", here)
+    sized = each.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.count("l").alias("q")).where("q > 0").select(*key, F.ceil(F.col("m") / F.lit(tile)).cast("int").alias("cuts"))
+    placed = each.join(sized, key).withColumn("c", F.expr("pmod(xxhash64(id), cuts)").cast("int"))
+    tiles = F.expr("""concat(transform(sequence(0, cuts - 1), a -> named_struct('a', a, 'b', c, 'l', if(a = c, l, null), 'answers', true)),
+        if(l is null or cuts = 1, array(), transform(filter(sequence(0, cuts - 1), b -> b <> c), b -> named_struct('a', c, 'b', b, 'l', l, 'answers', false))))""")
+    met = placed.select("id", "u", "s", "h", *key, F.explode(tiles).alias("x")).select("id", "u", "s", "h", *key, "x.a", "x.b", "x.l", "x.answers")
 
     def best(table: pa.Table) -> pa.Table:
-        ids, h, level = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "h", "l"))
+        ids, h, level, floor, answers = (table.column(c).to_numpy() for c in ("id", "h", "l", "s", "answers"))
         h = h.astype(np.int64)
         u = matrix(table.column("u").combine_chunks())
         asks = ~np.isnan(level)
-        m = np.flatnonzero(~asks)
+        m = np.flatnonzero(answers)
         m = m[np.lexsort((ids[m], h[m]))]
         q = np.flatnonzero(asks)
         level = np.where(asks, level, 0).astype(np.int64)
@@ -165,6 +166,8 @@ def search(rows: DataFrame, asked: DataFrame, k: int, lead: int, tile: int) -> D
                 r, c = np.nonzero(fine)
                 c = top[r, c] + lo
                 exact = np.einsum("ij,ij->i", u[qs][r].astype(np.float64), mu[c].astype(np.float64))
+                good = exact >= floor[qs][r]
+                r, c, exact = r[good], c[good], exact[good]
                 order = np.lexsort((mi[c], -exact, r))
                 r, c, exact = r[order], c[order], exact[order]
                 rank = np.arange(len(r)) - np.searchsorted(r, r)
@@ -176,7 +179,7 @@ def search(rows: DataFrame, asked: DataFrame, k: int, lead: int, tile: int) -> D
         gq = cat(got_q, np.int64)
         return pa.table({"id": gq, "dim": pa.array(np.full(len(gq), dim, np.int32)), "other": cat(got_m, np.int64), "similarity": cat(got_s, np.float64)})
 
-    found = as_member.unionByName(as_query).groupBy(*key, "a", "b").applyInArrow(best, "id bigint, dim int, other bigint, similarity double")
+    found = met.groupBy(*key, "a", "b").applyInArrow(best, "id bigint, dim int, other bigint, similarity double")
     return found.groupBy("id", "dim", "other").agg(F.max("similarity").alias("similarity"))
 
 
@@ -203,22 +206,23 @@ def neighbours(
     rows = cut(hashed(usable(vectors, id_col, vector_col), trees, seed))
     n = rows.count()
     lead = max(0, math.ceil(math.log2(max(n, 1) / cell_rows)))
-    levels = descend(rows, trees, some, lead)
-    first = cut(levels.select("id", "dim", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "l"))
+    levels = cut(descend(rows, trees, some, lead))
+    first = levels.select("id", "dim", F.array_repeat("l", trees).alias("ls"), F.lit(-2.0).alias("s"))
     near = cut(_best(search(rows, first, k, lead, 4 * cell_rows), k))
     kth = near.groupBy("id", "dim").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("s"))
     known = levels.join(kth, ["id", "dim"], "left").select("id", "dim", "l", F.when(F.col("n") >= k, F.col("s")).otherwise(F.lit(-1.0)).alias("s"))
 
     def start():
         def step(batch):
-            ids, dims, had, s = (c.to_numpy() for c in batch.columns)
+            had, s = (c.to_numpy() for c in batch.columns[2:])
             lengths = _lengths(s, trees, recall)
-            r, t = np.nonzero((lengths >= 0) & (lengths < had[:, None]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(dims[r]), pa.array(t.astype(np.int32)), pa.array(lengths[r, t].astype(np.int32))], names=["id", "dim", "tree", "l"])
+            lengths = np.where(lengths < had[:, None], lengths, -1).astype(np.int32)  # others have been searched
+            ls = pa.ListArray.from_arrays(pa.array(np.arange(0, lengths.size + 1, trees, dtype=np.int32)), pa.array(lengths.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], ls, pa.array(np.where(s > -1, s, -2))], names=["id", "dim", "ls", "s"])
 
         return step
 
-    more = cut(map_arrow(known, "id bigint, dim int, tree int, l int", start))
+    more = cut(map_arrow(known, "id bigint, dim int, ls array<int>, s double", start))
     wider = search(rows, more, k, lead, 4 * cell_rows)
     every = near.select("id", "dim", "other", "similarity").unionByName(wider).groupBy("id", "dim", "other").agg(F.max("similarity").alias("similarity"))
     # Rows of one id and several lengths
