@@ -1,5 +1,3 @@
-import re
-
 import pytest
 from fixtures import documents, edge_rows, prose
 from hypothesis import given, settings
@@ -22,7 +20,7 @@ def test_cuts_change_nothing(path, text):
     assert b.encode(text).tolist() == want and b.decode(want) == text
     for most in (1, 7):
         pieces = b.pieces(text, most)
-        assert "".join(pieces) == text and sum((b.encoding.encode_ordinary(p) for p in pieces), []) == want
+        assert b"".join(pieces).decode() == text and sum((b.encoding.encode_ordinary(p.decode()) for p in pieces), []) == want
 
 
 def test_cut_pairs_are_inside_no_token():
@@ -56,22 +54,37 @@ def test_edges(spark):
     assert sorted(((r.doc_id, r.tokens) for r in encoded.collect()), key=key) == want
     back = sorted(((r.doc_id, r.text) for r in bpe.decode(encoded).collect()), key=key)
     assert back == sorted(((r[0], r[1]) for r in rows), key=key)
-    counts = sorted((r.doc_id is None, r.doc_id or 0, -1 if r.n_tokens is None else r.n_tokens) for r in token_counts.count(docs, piece_chars=1000, batch_bytes=5000).collect())
+    counts = sorted((r.doc_id is None, r.doc_id or 0, -1 if r.n_tokens is None else r.n_tokens) for r in token_counts.count(docs, piece_bytes=1000, batch_bytes=5000).collect())
     assert counts == sorted((i is None, i or 0, -1 if t is None else len(t)) for i, t in want)
     for f in (bpe.encode, bpe.round_trip, token_counts.count):
         assert f(documents(spark, [])).count() == 0
 
 
-def test_batches_are_balanced():
-    sizes = [5, 900, 30, 30, 30, 400, 0, 7]
+@settings(max_examples=200, deadline=None)
+@given(sizes=st.lists(st.integers(0, 900), max_size=40))
+def test_batches_are_bounded_and_balanced(sizes):
     got = token_counts.balanced(sizes, 500)
-    assert sorted(k for g in got for k in g) == list(range(8)) and len(got) == 3
-    assert max(sum(sizes[k] for k in g) for g in got) == 900
+    assert sorted(k for g in got for k in g) == list(range(len(sizes))) or not any(sizes) and len(got) <= 1
+    loads = [sum(sizes[k] for k in g) for g in got]
+    assert all(n <= 500 or len(g) == 1 for n, g in zip(loads, got))
+
+
+def test_batches():
+    assert sorted(map(len, token_counts.balanced([6, 6, 6], 10))) == [1, 1, 1]
     assert token_counts.balanced([], 10) == []
+    assert [len(g) for g in token_counts.balanced([5] * 40, 100)] == [20, 20]
 
 
-def test_pieces_keep_words():
+def test_texts_without_spaces(spark):
+    """Long texts of Chinese characters and of one line without spaces are cut, and batches are of bytes."""
     b = bpe.vocabulary(bpe.DEFAULT_VOCABULARY)
-    text = "word  two\n three " * 50
-    got = b.pieces(text, 10)
-    assert len(got) > 20 and all(re.match(r" |word", p) for p in got) and all(re.search(r"\S$", p) for p in got[:-1])
+    rng = __import__("random").Random(2)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(30_000))
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789,;:{}[]") for _ in range(60_000))
+    for text in (cjk, line):
+        got = b.pieces(text, 1000)
+        assert len(got) > 20 and max(map(len, got)) < 3000 and b"".join(got).decode() == text
+    rows = [(1, cjk), (2, line), (3, "z" * 50_000)]
+    for r in token_counts.count(spark.createDataFrame(rows, "doc_id bigint, text string"), piece_bytes=1000, batch_bytes=4000).collect():
+        text = dict(rows)[r.doc_id]
+        assert (r.n_tokens, r.n_bytes) == (len(b.encoding.encode_ordinary(text)), len(text.encode()))

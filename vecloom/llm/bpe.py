@@ -80,18 +80,21 @@ class Bpe:
     def decode(self, ids) -> str:
         return b"".join(map(self.texts, ids)).decode("utf-8", "replace")
 
-    def pieces(self, text: str, most: int) -> list[str]:
-        """text, cut into pieces of about most characters where a word ends before a space; such a cut is safe too."""
+    def pieces(self, text: str, most: int) -> list[bytes]:
+        """text in UTF-8, cut into pieces of about most bytes at boundaries(); a stretch without one stays whole."""
+        data = text.encode("utf-8")
+        if len(data) <= most:
+            return [data]
+        places = self.boundaries(data, text)
         out, at = [], 0
-        while len(text) - at > most:
-            end = text.find(" ", at + most)
-            while 0 < end and text[end - 1].isspace():
-                end = text.find(" ", end + 1)
-            if end < 0:
+        while len(data) - at > most and len(places):
+            k = int(np.searchsorted(places, at + most, side="right")) - 1
+            k = k if k >= 0 and places[k] > at else k + 1  # the last one within reach, else the next
+            if k >= len(places):
                 break
-            out.append(text[at:end])
-            at = end
-        out.append(text[at:])
+            out.append(data[at : places[k]])
+            at = int(places[k])
+        out.append(data[at:])
         return out
 
 
