@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can reach.
 
-    It is the session's spark.checkpoint.dir; only where a session has none (tests, local mode) a folder of this
-    machine is set.
+    It is the session's spark.checkpoint.dir. Where a session has none, a folder of this machine is set in local mode, in
+    which all executors are this machine; a cluster's session must name one.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
+        if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), f"vecloom-{uuid.uuid4().hex}"))
     return sc.getCheckpointDir()
 
@@ -76,6 +79,28 @@ def where_text(docs: DataFrame, text_col: str, start: Callable[[], Callable[[lis
     return docs.mapInArrow(run, docs.schema)
 
 
-def hashed_order(id_col: str, seed: int):
-    """A seeded order of rows that does not depend on how they are partitioned."""
-    return F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
+def row_key(*columns, seed: int = 0):
+    """A seeded hash of the columns' values, nulls told apart: the same wherever and whenever a row is read."""
+    own = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.xxhash64(F.lit(seed), *own, *(c.isNull() for c in own))
+
+
+def drawn(docs: DataFrame, label, id_col: str, text_col: str, most: int, seed: int, most_labels: int = 256) -> DataFrame:
+    """(id, label, text): at most `most` documents of each label, in a seeded order, of rows with a label and a text.
+
+    label is a column of docs, or a frame (id, label) with one row an id. Of more than most_labels labels, those with the
+    most documents are taken, ties in their order. Rows of the same id and text are one document. What is ranked holds no
+    texts, and one row a document, folded before the shuffle; the texts of the chosen ones are then picked, and folded too.
+    """
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([] if isinstance(label, DataFrame) else [label.alias("label")])).where("text is not null")
+    keyed = keyed.withColumn("key", row_key("id", "text", seed=seed))
+    if isinstance(label, DataFrame):
+        offered = keyed.select("id", "key").distinct().join(label, "id").select("label", "key")
+    else:
+        offered = keyed.where("label is not null").select("label", "key").distinct()
+    order = Window.partitionBy("label").orderBy("key")
+    ranked = cut(offered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("label", "key"))
+    labels = ranked.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels)
+    few = ranked.join(F.broadcast(labels.select("label")), "label", "left_semi")  # at most `most` rows for each of most_labels
+    picked = keyed.select("id", "text", "key").join(F.broadcast(few), "key")
+    return picked.groupBy("label", "key").agg(F.first("id").alias("id"), F.first("text").alias("text")).select(F.col("id").cast("string").alias("id"), "label", "text")

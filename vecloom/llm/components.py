@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.llm.common import cut
@@ -13,16 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     root is the least node of the component. Each round rewires every node to the least neighbour, first its larger
     neighbours, then its smaller ones, until nothing changes; the rounds grow with the logarithm of the component's size.
-    Each round's edges are written to the shared folder.
+    Each round's edges are written to the shared folder. Least neighbours are added up before the shuffle and then joined
+    to the edges, two plain shuffles, so that a node with a large part of all edges is split as a skewed join is.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        by_a = Window.partitionBy("a")
-        large = both.withColumn("m", F.least(F.col("a"), F.min("b").over(by_a))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.withColumn("m", F.min("b").over(by_a))
-        small = least.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        pair = lambda x: F.struct(F.col(x).alias("a"), F.col("m").alias("b"))
+        small = large.join(low, "a").select(F.explode(F.array(pair("a"), pair("b"))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         now = cut(small)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
