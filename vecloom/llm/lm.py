@@ -6,25 +6,31 @@ interpolated Witten-Bell ones: with c kept occurrences of w after context h, C o
     P(w | h) = (c + T * P(w | h without its first symbol)) / (C + T),
 
 down to a uniform share of 1/256. Kept are n-grams whose count reaches the cutoff of their order.
+
+Texts lie in parts of bounded size. Each part's n-grams meet their counts in the whole corpus, and a worker builds the
+automaton of those that its part needs and sends the part's texts through it. So a worker holds what its texts can use,
+whatever the size of the model, and there is one way for all sizes.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import cut, map_arrow, slices
+from vecloom.llm.common import map_arrow, shared_dir, slices
 
-ORDER = 5
-CUTOFFS = (1, 1, 1, 2, 2)
-#: An automaton of more n-grams than this is not sent to the workers; probabilities are then joined.
-MOST_NGRAMS = 12_000_000
-_HELD = 3_000_000
+ORDER = 6
+CUTOFFS = (1, 1, 1, 1, 2, 2)
+#: Bytes of text of a part; a longer text is a part for itself.
+PART_BYTES = 16 << 20
+_KEY = 9 * ORDER
 _LANE = 512
 
 
@@ -51,51 +57,79 @@ def grams(s: np.ndarray) -> np.ndarray:
     return key[s[ORDER - 1 :] != 0]
 
 
-def _total(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, n = k[order], n[order]
-    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    return k[first], np.add.reduceat(n, first)
+def parted(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> DataFrame:
+    """(part, id, text) of each row, written to the shared folder: parts are given once."""
+    schema = f"part bigint, id {docs.schema[id_col].dataType.simpleString()}, text string"
 
+    def start():
+        state = [TaskContext.get().partitionId() << 32, 0]
 
-def count_grams(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """(key, n): each n-gram of ORDER symbols in all texts. Tasks add up their own before the shuffle."""
+        def step(batch):
+            for piece in slices(batch, 1, part_bytes // 2):
+                size = piece.column(1).nbytes
+                if state[1] and state[1] + size > part_bytes:
+                    state[:] = state[0] + 1, 0
+                state[1] += size
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(piece.num_rows, state[0])), *piece.columns], names=["part", "id", "text"])
 
-    def run(batches):
-        keys, counts, held = [], [], 0
+        return step
+
+    where = f"{shared_dir(docs.sparkSession)}/lm-{uuid.uuid4().hex}"
+    map_arrow(docs.select(id_col, text_col), schema, start).write.parquet(where)
+    return docs.sparkSession.read.parquet(where)
 
-        def out(k, n):
-            for at in range(0, len(k), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + (1 << 18)]), pa.array(n[at : at + (1 << 18)])], names=["key", "n"])
+
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(part, code, n): each n-gram of each part, of all orders; its code is order << _KEY | n-gram. Some come in several rows."""
+
+    def run(batches):
+        held: dict[int, list] = {}
+
+        def out(part):
+            k, n = held.pop(part)[0], None
+            k = np.sort(np.concatenate(k))
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            k, n = k[first], np.diff(np.r_[first, len(k)])
+            for order in range(ORDER, 0, -1):
+                if order < ORDER:
+                    k = k & mask(order)
+                    by = np.argsort(k, kind="stable")
+                    k, n = k[by], n[by]
+                    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                    k, n = k[first], np.add.reduceat(n, first)
+                for at in range(0, len(k), 1 << 18):
+                    own = slice(at, at + (1 << 18))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[own]), part)), pa.array(k[own] | np.int64(order << _KEY)), pa.array(n[own])], names=["part", "code", "n"])
 
         for batch in batches:
-            for part in slices(batch, 0, 4 << 20):
-                texts = [t for t in part.column(0).to_pylist() if t]
-                if not texts:
-                    continue
-                k = np.sort(grams(symbols(texts)))
-                first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                keys.append(k[first])
-                counts.append(np.diff(np.r_[first, len(k)]))
-                held += len(first)
-                if held > _HELD:
-                    k, n = _total(keys, counts)
-                    keys, counts, held = [k], [n], len(k)
-                    if held > _HELD // 2:
-                        yield from out(k, n)
-                        keys, counts, held = [], [], 0
-        if keys:
-            yield from out(*_total(keys, counts))
-
-    return docs.select(text_col).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def kept_grams(full: DataFrame, cutoffs=CUTOFFS) -> DataFrame:
-    """(k, key, n): the kept n-grams of each order k, of the counts of the longest."""
-    each = full.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("key").bitwiseAND(F.lit(mask(k))).alias("key")) for k in range(1, ORDER + 1)))).alias("g"), "n")
-    least = F.element_at(F.array(*map(F.lit, cutoffs)), F.col("k"))
-    return each.groupBy("g.k", "g.key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+            for piece in slices(batch, 1, 4 << 20):
+                parts = piece.column(0).to_numpy()
+                for part in np.unique(parts):
+                    own = [t for t in piece.filter(pa.array(parts == part)).column(1).to_pylist() if t]
+                    if own:
+                        k, size = held.setdefault(int(part), [[], 0])
+                        k.append(grams(symbols(own)))
+                        held[int(part)][1] += len(k[-1])
+                if sum(size for _, size in held.values()) > PART_BYTES:
+                    for part in list(held):
+                        yield from out(part)
+        for part in list(held):
+            yield from out(part)
+
+    return texts.select("part", "text").mapInArrow(run, "part bigint, code bigint, n bigint")
+
+
+def model(counted: DataFrame, cutoffs) -> DataFrame:
+    """(code, c, total, kinds) of all n-grams after whose context there is a kept one.
+
+    c is the count, 0 for one that isn't kept; total and kinds are of the kept ones after the context.
+    """
+    sums = counted.groupBy("code").agg(F.sum("n").alias("c"))
+    least = F.element_at(F.array(*map(F.lit, cutoffs)), F.shiftright("code", _KEY).cast("int"))
+    sums = sums.withColumn("c", F.when(F.col("c") >= least, F.col("c")).otherwise(F.lit(0)))
+    context = Window.partitionBy(F.shiftright("code", 9))  # at most 256 rows: an order and a context
+    own = sums.withColumns({"total": F.sum("c").over(context), "kinds": F.count(F.when(F.col("c") > 0, True)).over(context)})
+    return own.where("total > 0")
 
 
 @dataclass
@@ -115,10 +149,13 @@ class Automaton:
     unseen: float
 
     @classmethod
-    def build(cls, orders: list[tuple[np.ndarray, np.ndarray]]) -> Automaton:
-        """Of the kept n-grams (keys in order, counts) of each order."""
+    def build(cls, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Automaton:
+        """Of n-grams of each order: keys in order, counts (0 for one that isn't kept), and total and kinds as model() has them.
+
+        With an n-gram there must be its endings.
+        """
         contexts, spans, offset = [], [], []
-        for k, (keys, _) in enumerate(orders):
+        for k, (keys, *_) in enumerate(orders):
             ctx = keys >> 9
             first = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]]) if len(keys) else np.zeros(0, np.int64)
             contexts.append(ctx[first])
@@ -144,18 +181,20 @@ class Automaton:
 
         arcs, nexts, probs = [], [], []
         below_keys, below_p = None, None
-        for k, (keys, n) in enumerate(orders):
+        for k, (keys, n, total, kinds) in enumerate(orders):
             if not len(keys):
                 below_keys, below_p = keys, np.zeros(0)
                 continue
-            total, kinds = np.add.reduceat(n, spans[k]).astype(float), np.diff(np.r_[spans[k], len(keys)]).astype(float)
-            of = np.repeat(np.arange(len(spans[k])), np.diff(np.r_[spans[k], len(keys)]))
-            lower = np.full(len(keys), 1 / 256) if k == 0 else below_p[np.searchsorted(below_keys, keys & mask(k))]
-            p = (n + kinds[of] * lower) / (total + kinds)[of]
+            total, kinds = total.astype(float), kinds.astype(float)
             own = offset[k] + np.arange(len(contexts[k]))
-            backoff[own] = np.log(kinds / (total + kinds))
+            backoff[own] = np.log(kinds / (total + kinds))[spans[k]]
             fail[own] = state(k - 1, contexts[k]) if k else 0
-            arcs.append((offset[k] + of) * 512 + (keys & 511))
+            of = np.repeat(own, np.diff(np.r_[spans[k], len(keys)]))
+            kept = n > 0
+            keys, n, total, kinds, of = keys[kept], n[kept], total[kept], kinds[kept], of[kept]
+            lower = np.full(len(keys), 1 / 256) if k == 0 else below_p[np.searchsorted(below_keys, keys & mask(k))]
+            p = (n + kinds * lower) / (total + kinds)
+            arcs.append(of * 512 + (keys & 511))
             nexts.append(state(min(k + 1, ORDER - 1), keys))
             probs.append(np.log(p))
             below_keys, below_p = keys, p
@@ -248,89 +287,46 @@ def _slot(arc: np.ndarray, size: int) -> np.ndarray:
     return (h >> np.uint64(64 - size.bit_length() + 1)).view(np.int64)
 
 
-def automaton(kept: DataFrame) -> Automaton:
-    rows = kept.toArrow()
-    k, key, n = (rows.column(c).to_numpy() for c in range(3))
-    orders = []
-    for j in range(1, ORDER + 1):
-        own = np.flatnonzero(k == j)
-        own = own[np.argsort(key[own])]
-        orders.append((key[own], n[own]))
-    return Automaton.build(orders)
+def automaton(rows: pa.Table) -> Automaton:
+    """Of (code, c, total, kinds)."""
+    code, c, total, kinds = (rows.column(x).to_numpy() for x in ("code", "c", "total", "kinds"))
+    by = np.argsort(code)
+    code, c, total, kinds = code[by], c[by], total[by], kinds[by]
+    once = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else by
+    code, c, total, kinds = code[once], c[once], total[once], kinds[once]
+    ends = np.searchsorted(code, np.arange(1, ORDER + 2, dtype=np.int64) << _KEY)
+    return Automaton.build([(code[a:b] & np.int64((1 << _KEY) - 1), c[a:b], total[a:b], kinds[a:b]) for a, b in zip(ends[:-1], ends[1:])])
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cutoffs=CUTOFFS, most_ngrams: int = MOST_NGRAMS) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cutoffs=CUTOFFS, part_bytes: int = PART_BYTES) -> DataFrame:
     """(id, n_bytes, avg_logprob): the mean natural log-probability of a byte, for each row of docs, as a whole.
 
-    The model is of all texts of docs. If it has at most most_ngrams n-grams, workers hold it as an automaton; else the
-    same probabilities are joined to the documents' n-grams. A null text has nulls, an empty one 0 bytes and a null
-    mean. Repeated rows count each time in the model and give repeated results. An empty table gives an empty result.
-    Other columns are not looked at.
+    The model is of all texts of docs. cutoffs, one for each order, must not fall from one order to the next. A null text
+    has nulls, an empty one 0 bytes and a null mean. Repeated rows count each time in the model and give repeated results.
+    An empty table gives an empty result. Other columns are not looked at.
     """
-    full = cut(count_grams(docs, text_col=text_col))
-    kept = cut(kept_grams(full, cutoffs))
-    if kept.count() > most_ngrams:
-        return score_by_join(docs, full, kept, id_col=id_col, text_col=text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton(kept))
+    if len(cutoffs) != ORDER or list(cutoffs) != sorted(cutoffs):
+        raise ValueError(f"cutoffs must be {ORDER} numbers in order")
+    texts = parted(docs, id_col, text_col, part_bytes)
+    # Both what is added up and what a part needs come from this one shuffle.
+    counted = count_grams(texts).repartition("code")
+    needed = counted.join(model(counted, cutoffs), "code").select("part", "code", "c", "total", "kinds")
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, avg_logprob double"
 
-    def start():
-        model = shared.value
-
-        def step(batch):
-            for part in slices(batch, 1, 4 << 20):
-                texts = part.column(1).to_pylist()
-                some = [k for k, t in enumerate(texts) if t]
-                sizes = np.array([0 if t is None else len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
-                mean = np.zeros(len(texts))
-                if some:
-                    mean[some] = np.round(model.score([texts[k] for k in some]) / sizes[some], 6)
-                null = np.array([t is None for t in texts])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, mask=null), pa.array(mean, mask=sizes == 0)], names=[id_col, "n_bytes", "avg_logprob"])
-
-        return step
-
-    return map_arrow(docs.select(id_col, text_col), schema, start)
-
-
-def probabilities(full: DataFrame, kept: DataFrame) -> DataFrame:
-    """(key, logp) of each n-gram of ORDER symbols, by joins."""
-    out = full.select("key")
-    p = F.lit(1 / 256)
-    for k in range(1, ORDER + 1):
-        own = kept.where(F.col("k") == k).select(F.col("key").alias(f"g{k}"), F.col("n").alias(f"c{k}"))
-        context = own.groupBy(F.shiftright(f"g{k}", 9).alias(f"h{k}")).agg(F.sum(f"c{k}").alias(f"total{k}"), F.count(F.lit(1)).alias(f"kinds{k}"))
-        short = F.col("key").bitwiseAND(F.lit(mask(k)))
-        out = out.join(own, short == F.col(f"g{k}"), "left").join(context, F.shiftright(short, 9) == F.col(f"h{k}"), "left")
-        here = (F.coalesce(F.col(f"c{k}"), F.lit(0)) + F.col(f"kinds{k}") * p) / (F.col(f"total{k}") + F.col(f"kinds{k}"))
-        out = out.select("key", F.coalesce(here, p).alias(f"p{k}"))
-        p = F.col(f"p{k}")
-    return out.select("key", F.ln(p).alias("logp"))
-
-
-def score_by_join(docs: DataFrame, full: DataFrame, kept: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same as score(), for models too large for a worker: each document's n-grams meet their probabilities in a shuffle."""
-
-    def start():
-        def step(batch):
-            for part in slices(batch, 1, 4 << 20):
-                rows, keys, counts = [], [], []
-                for r, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    if t:
-                        k, n = np.unique(grams(symbols([t])), return_counts=True)
-                        rows.append(np.full(len(k), r))
-                        keys.append(k)
-                        counts.append(n)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (rows, keys, counts)], names=["row", "key", "n"])
-
-        return step
-
-    numbered = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col), F.col(text_col)))
-    own = map_arrow(numbered.select("row", text_col), "row bigint, key bigint, n bigint", start)
-    sums = own.join(probabilities(full, kept), "key").groupBy("row").agg(F.sum(F.col("n") * F.col("logp")).alias("s"))
-    size = F.octet_length(text_col).cast("bigint")
-    return numbered.join(sums, "row", "left").select(id_col, size.alias("n_bytes"), F.round(F.col("s") / size, 6).alias("avg_logprob"))
+    def run(own: pa.Table, rows: pa.Table) -> pa.Table:
+        ids, texts = rows.column("id"), rows.column("text").to_pylist()
+        some = [k for k, t in enumerate(texts) if t]
+        sizes = np.array([0 if t is None else len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
+        mean = np.zeros(len(texts))
+        if some:
+            machine = automaton(own)
+            for a in range(0, len(some), 1 << 12):
+                part = some[a : a + (1 << 12)]
+                mean[part] = np.round(machine.score([texts[k] for k in part]) / sizes[part], 6)
+        null = np.array([t is None for t in texts], bool)
+        return pa.Table.from_arrays([ids, pa.array(sizes, mask=null), pa.array(mean, mask=sizes == 0)], names=[id_col, "n_bytes", "avg_logprob"])
+
+    return needed.groupBy("part").cogroup(texts.groupBy("part")).applyInArrow(run, schema)
 
 
 def _order_sql(k: int) -> str:
