@@ -6,10 +6,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import hashed_order, map_arrow, slices, where_text
+from vecloom.llm.common import drawn, map_arrow, slices, where_text
 
 SCHEMA = "lang_pred string, similarity double, rejected boolean"
 _MUL = np.uint32(2654435761)
@@ -98,19 +98,15 @@ def fit(
     accept: float = 0.5,
     seed: int = 7,
 ) -> Model:
-    """Centroids of each language, from at most rows_per_language labelled rows of it, drawn in a seeded order.
+    """Centroids of each language, from at most rows_per_language labelled documents of it, drawn in a seeded order.
 
-    The sample is the documented bound of the fit; classification covers all rows. Rows without text or label don't
-    count, nor do languages with fewer than least_rows rows. accept times the 1% quantile of the similarity of the
+    The sample is the documented bound of the fit (and the 256 languages with the most documents); classification covers
+    all rows. Rows of the same id and text are one document. Rows without text or label don't count, nor do languages with
+    fewer than least_rows documents. accept times the 1% quantile of the similarity of the
     sample (whole texts and windows of 8, 16, ... characters) to its own language is the rejection threshold of each
     length. Texts without letters are rejected. With no labelled row the model has no centroid and rejects every document.
     """
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    order = Window.partitionBy(lang_col).orderBy(hashed_order(id_col, seed), id_col)
-    chosen = usable.select(id_col, lang_col).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_language)
-    ids = [r[0] for r in chosen.select(id_col).distinct().collect()]
-    sample = docs.where(F.col(id_col).isin(ids)) if len(ids) <= 2000 else docs.join(F.broadcast(chosen.select(id_col).distinct()), id_col, "left_semi")
-    sample = sample.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), lang_col, text_col)
+    sample = drawn(docs, F.col(lang_col).cast("string"), id_col, text_col, rows_per_language, seed)
 
     def start():
         def step(batch):
@@ -137,8 +133,8 @@ def fit(
 
         return step
 
-    got = map_arrow(sample, "id string, lang string, whole boolean, size int, at array<int>, n array<float>", start).toArrow().to_pylist() if ids else []
-    got.sort(key=lambda r: (r["lang"], not r["whole"], r["id"], r["size"]))
+    got = map_arrow(sample, "id string, lang string, whole boolean, size int, at array<int>, n array<float>", start).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["lang"], not r["whole"], r["id"] or "", r["size"], r["at"], r["n"]))
     whole = [r for r in got if r["whole"]]
     kept = sorted(lang for lang in {r["lang"] for r in whole} if sum(r["lang"] == lang for r in whole) >= least_rows)
     f = 1 << bits

@@ -8,29 +8,60 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import hashed_order, map_arrow, slices, where_text
+from vecloom.llm.common import drawn, map_arrow, slices, where_text
 
 SCHEMA = "toxicity double, toxic boolean, offending_at array<int>, offending array<string>"
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"\w+")
+PREFIXES = (4, 6)
+_CACHED = 200_000
 
 
 def sentences(text: str) -> list[str]:
     return [s for s in SENTENCE.split(text) if s]
 
 
+def features(word: str) -> list[str]:
+    """A word and its beginnings, which tell families of words of which each is rare."""
+    return [word, *(f"{word[:k]}*" for k in PREFIXES if len(word) > k)]
+
+
+class _Known(dict):
+    """The features with a weight of each word that was asked for."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word):
+        if len(self) >= _CACHED:
+            self.clear()
+        value = self[word] = tuple(f for f in features(word) if f in self.weights)
+        return value
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
     bias: float
     threshold: float
 
+    def __post_init__(self):
+        self.known = _Known(self.weights)
+
+    def __getstate__(self):
+        return self.weights, self.bias, self.threshold
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
     def logits(self, parts: list[str]) -> np.ndarray:
-        get, find = self.weights.get, WORD.findall
-        return np.array([sum(filter(None, map(get, set(find(s.lower()))))) for s in parts], float) + self.bias
+        """The sum of the weights of each sentence's distinct features, and the bias."""
+        known, get, find = self.known.__getitem__, self.weights.__getitem__, WORD.findall
+        return np.array([sum(map(get, set().union(*filter(None, map(known, set(find(s.lower()))))))) for s in parts], float) + self.bias
 
     def judge(self, text: str | None) -> tuple[float, bool, list[int], list[str]]:
         parts = sentences(text) if text else []
@@ -38,8 +69,10 @@ class Model:
             return 0.0, False, [], []
         z = self.logits(parts)
         whole = float(-np.expm1(-np.logaddexp(0, z).sum()))
-        at = np.flatnonzero(z >= 0)
-        return whole, whole >= self.threshold and len(at) > 0, at.tolist(), [parts[k] for k in at]
+        if whole < self.threshold:
+            return whole, False, [], []
+        at = np.flatnonzero(z >= min(0.0, z.max() - 1))
+        return whole, True, at.tolist(), [parts[k] for k in at]
 
 
 def _log_tail(n: int, hits: int, rate: float) -> float:
@@ -56,8 +89,9 @@ def train(bags: list[list[list[str]]], labels: list[int], *, least_documents: in
 
     P(toxic) = 1 - (1 - leak) * prod(1 - p(sentence)). The leak takes up documents whose label no sentence explains, so
     that they don't raise the score of every sentence; it is not part of the score. Without both labels the model
-    calls nothing toxic. Copies of a bag count once. Words of fewer than least_documents bags don't count, nor do words that
-    aren't in more toxic bags than chance gives one word of all (else rare words learn their documents' labels by heart).
+    calls nothing toxic. Copies of a bag count once. A feature is a word or a word's beginning, so that words too rare to
+    count for themselves count as a family. Features of fewer than least_documents bags don't count, nor do those that
+    aren't in more toxic bags than chance gives one feature of all (else rare ones learn their documents' labels by heart).
     """
     seen: dict[tuple, int] = {}
     for bag, label in zip(bags, labels):
@@ -67,19 +101,22 @@ def train(bags: list[list[list[str]]], labels: list[int], *, least_documents: in
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model({}, -20.0, threshold)
+    words = [set().union(*bag) for bag in bags]
+    of = {w: features(w) for w in set().union(*words)}
     df: dict[str, list[int]] = {}
-    for bag, label in zip(bags, labels):
-        for w in {w for s in bag for w in s}:
-            n = df.setdefault(w, [0, 0])
+    for own, label in zip(words, labels):
+        for f in set().union(*map(of.__getitem__, own)):
+            n = df.setdefault(f, [0, 0])
             n[0] += 1
             n[1] += label
     df = {w: n for w, n in df.items() if n[0] >= least_documents}
     chance = math.log(max(1, len(df)))
     vocabulary = {w: k for k, w in enumerate(sorted(w for w, (n, hits) in df.items() if _log_tail(n, hits, y.mean()) <= -chance))}
+    places = {w: own for w, fs in of.items() if (own := [vocabulary[f] for f in fs if f in vocabulary])}
     row, col, bag_of = [], [], []
     for b, bag in enumerate(bags):
         for s in bag:
-            own = [vocabulary[w] for w in s if w in vocabulary]
+            own = sorted({k for w in s if w in places for k in places[w]})
             row += [len(bag_of)] * len(own)
             col += own
             bag_of.append(b)
@@ -117,15 +154,11 @@ def fit(
 ) -> Model:
     """Sentence weights from at most rows_per_label labelled documents of each label, drawn in a seeded order.
 
-    That is the documented bound of the fit. Labels other than 0 and 1, null labels and texts, and labels of absent
+    That is the documented bound of the fit. Rows of the same id and text are one document. Labels other than 0 and 1, null labels and texts, and labels of absent
     documents don't count; of several labels of a document the largest holds.
     """
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col)).cast("int").alias("_y"))
-    present = docs.where(F.col(text_col).isNotNull()).select(id_col)
-    order = Window.partitionBy("_y").orderBy(hashed_order(id_col, seed), id_col)
-    chosen = known.join(present, id_col, "left_semi").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows_per_label)
-    chosen = F.broadcast(chosen.select(id_col, "_y"))  # at most 2 * rows_per_label rows
-    sample = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(chosen, id_col).select(F.col(id_col).cast("string"), text_col, "_y")
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("int").alias("label"))
+    sample = drawn(docs, known, id_col, text_col, rows_per_label, seed).select("id", "text", "label")
 
     def start():
         def step(batch):
@@ -137,16 +170,17 @@ def fit(
         return step
 
     got = map_arrow(sample, "id string, y int, bag array<array<string>>", start).toArrow().to_pylist()
-    got.sort(key=lambda r: (r["id"], r["bag"]))
+    got.sort(key=lambda r: (r["id"] or "", r["bag"]))
     return train([r["bag"] for r in got], [r["y"] for r in got], **options)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, toxicity, toxic, offending_at, offending) for each row of docs; other columns are not looked at.
 
-    toxicity is the noisy-or of the scores of all sentences. A document is toxic if that reaches the threshold and some
-    sentence is itself more likely toxic than not; offending_at holds the places of those sentences, counted from 0,
-    and offending their texts. Null, empty and blank texts have toxicity 0 and are not toxic. Repeated rows give
+    toxicity is the noisy-or of the scores of all sentences. A document is toxic if that reaches the threshold, be it by
+    many sentences of which none is likely toxic for itself. offending_at holds the places, counted from 0, of the sentences
+    that are likely toxic or near the worst one (a logit of 0, or of the largest less 1), and offending their texts; both
+    are empty for other documents. Null, empty and blank texts have toxicity 0 and are not toxic. Repeated rows give
     repeated results. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
