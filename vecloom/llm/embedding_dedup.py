@@ -4,6 +4,9 @@ Unit vectors are rotated and split into blocks of few dimensions. If the squared
 least one block it is at most that block's share of R, in proportion to its dimensions. Each block is joined under its share: a
 k-d tree cuts it into leaves, and a vector goes to its own leaf and, as a visitor, to each later leaf that is near enough, so
 that two vectors meet in one leaf a block. The candidates of all blocks are compared exactly, by all dimensions.
+
+What travels is a byte for each dimension. It tells nearly all candidates; those that it leaves open, and that nothing else
+has linked by then, are compared by their vectors.
 """
 
 from __future__ import annotations
@@ -16,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.ann import matrix, unit, usable
 from vecloom.llm.common import cut, map_arrow
 from vecloom.llm.components import components, merge
+from vecloom.llm.vectors import keyed, matrix, restored, similarities, small, unit, unsure
 
 _BLOCK = 1 << 18
 _SLACK = 1e-5
-#: Only the leaves' borders come from a sample; what is found doesn't depend on them.
-_SAMPLE = 100_000
+#: Only the leaves' borders come from a sample, of about so many rows; what is found doesn't depend on them.
+_SAMPLE = 1 << 18
 _COMPARED = 1 << 15
 
 
@@ -86,7 +89,10 @@ def _tiles(row, cell, home, chunk, cuts):
 
 
 def links(rows: DataFrame, least: float, width: int, leaf_rows: int, seed: int) -> DataFrame:
-    """(a, b) such that the components of these links are those of all pairs of rows (id, v) with a cosine of least or more."""
+    """(a, b, open) such that the components of these links are those of all pairs of rows (id, v) with a cosine of least or more.
+
+    Links that are open are still to be compared by their vectors.
+    """
     limit = 2 - 2 * least
     sizes = {r[0]: r[1] for r in rows.groupBy(F.size("v")).count().collect()}
     trees: dict[int, list[Leaves]] = {}
@@ -132,46 +138,59 @@ def links(rows: DataFrame, least: float, width: int, leaf_rows: int, seed: int)
                 for (d, k, cell), s in cuts_of.value.items():
                     if (d, k) == (dim, block):
                         cuts[leaf == cell] = s
+                dense = unit(matrix(batch.column(1).take(pa.array(at))))
+                q, scale, lost = small(dense)
                 for r, c, a, b, role in _tiles(row, leaf, home, ids[at][row] & 0xFFFFFFFF, cuts):
                     for lo in range(0, len(r), 1 << 14):
                         cut_ = slice(lo, lo + (1 << 14))
-                        take = pa.array(at[r[cut_]])
-                        cols = [np.full(len(take), x, np.int32) for x in (dim, block)] + [x[cut_].astype(np.int32) for x in (c, a, b, role)]
-                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), batch.column(0).take(take), batch.column(1).take(take)], names=["dim", "block", "leaf", "a", "b", "role", "id", "v"])
+                        own = r[cut_]
+                        cols = [np.full(len(own), x, np.int32) for x in (dim, block)] + [x[cut_].astype(np.int32) for x in (c, a, b, role)]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, cols), batch.column(0).take(pa.array(at[own])), q.take(pa.array(own)), pa.array(scale[own]), pa.array(lost[own])], names=names)
 
         return step
 
+    names = ["dim", "block", "leaf", "a", "b", "role", "id", "q", "scale", "lost"]
+
     def compare(table: pa.Table) -> pa.Table:
         dim, block = table.column("dim")[0].as_py(), table.column("block")[0].as_py()
         lo, hi = spans(dim, width)[block]
-        role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
-        order = np.lexsort((ids, role))
-        role, ids = role[order], ids[order]
-        u = unit(matrix(table.column("v").combine_chunks().take(pa.array(order))))
-        part = (u @ rotation(dim, seed)[:, lo:hi]).astype(np.float32)
+        order = np.lexsort((table.column("id").to_numpy(), table.column("role").to_numpy()))
+        role, ids, scale, lost = (table.column(c).to_numpy()[order] for c in ("role", "id", "scale", "lost"))
+        u = restored(table.column("q").combine_chunks().take(pa.array(order)), scale)
+        part = u @ rotation(dim, seed)[:, lo:hi].astype(np.float32)
         square = np.einsum("ij,ij->i", part, part)
-        share = (limit + _SLACK) * (hi - lo) / dim + 1e-6
+        # By rounding a block may seem farther than it is.
+        share = (math.sqrt((limit + _SLACK) * (hi - lo) / dim) + 2 * float(lost.max(initial=0))) ** 2 + 1e-6
         queries, members = np.flatnonzero(role != 1), np.flatnonzero(role != 2)
         labels = np.arange(len(ids))
         step = max(1, _BLOCK // max(1, len(members)))
-        side, squares = part[members].T, square[members]
+        # One product gives the squared distance less the query's own square.
+        side = np.vstack([-2 * part[members].T, square[members]])
+        asks = np.hstack([part, np.ones((len(part), 1), np.float32)])
+        open_ = []
         for at in range(0, len(queries), step):
             q = queries[at : at + step]
-            apart = square[q][:, None] + squares - 2 * (part[q] @ side)
-            r, c = np.nonzero(apart <= share)
-            r, c = q[r], members[c]
-            for k in range(0, len(r), 1 << 14):
-                x, y = r[k : k + (1 << 14)], c[k : k + (1 << 14)]
+            found = np.flatnonzero(asks[q] @ side <= (share - square[q])[:, None])
+            for k in range(0, len(found), 1 << 14):
+                x, y = q[found[k : k + (1 << 14)] // len(members)], members[found[k : k + (1 << 14)] % len(members)]
                 differ = labels[x] != labels[y]
                 x, y = x[differ], y[differ]
-                near = np.einsum("ij,ij->i", u[x], u[y]) >= least
+                cosine, doubt = np.einsum("ij,ij->i", u[x], u[y]), unsure(lost[x], lost[y])
+                near = cosine - doubt >= least
                 if near.any():
                     merge(labels, x[near], y[near])
+                close = ~near & (cosine + doubt >= least)
+                if close.any():
+                    open_.append((x[close], y[close]))
         joined = np.flatnonzero(labels != np.arange(len(ids)))
-        return pa.table({"a": pa.array(ids[joined], pa.int64()), "b": pa.array(ids[labels[joined]], pa.int64())})
+        x, y = map(np.concatenate, zip(*open_)) if open_ else (joined[:0], joined[:0])
+        differ = labels[x] != labels[y]
+        x, y = x[differ], y[differ]
+        a, b = np.r_[ids[joined], np.maximum(ids[x], ids[y])], np.r_[ids[labels[joined]], np.minimum(ids[x], ids[y])]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "open": pa.array(np.arange(len(a)) >= len(joined))})
 
-    met = map_arrow(rows.select("id", "v"), "dim int, block int, leaf int, a int, b int, role int, id bigint, v array<float>", start)
-    return met.groupBy("dim", "block", "leaf", "a", "b").applyInArrow(compare, "a bigint, b bigint")
+    met = map_arrow(rows.select("id", "v"), "dim int, block int, leaf int, a int, b int, role int, id bigint, q binary, scale float, lost float", start)
+    return met.groupBy("dim", "block", "leaf", "a", "b").applyInArrow(compare, "a bigint, b bigint, open boolean")
 
 
 def deduplicate(
@@ -188,19 +207,29 @@ def deduplicate(
 
     Rows whose cosine is least_cosine or more are linked, and linked rows form a group, whose group_id is its least id; keep
     marks that row. A row without copies is its own group. Vectors are compared as float32, and only with those of the same
-    length. Null and empty vectors, all-zero ones and those with nulls, NaN or infinity are never copies. Rows with the same
-    id share its fate; a null id has a null group and is kept. Ids must be integers. An empty table gives an empty result.
+    length. Null and empty vectors, all-zero ones and those with nulls, NaN or infinity are never copies. Each row is in the
+    group of its own vector, whatever its id; repeated rows share their fate; a null id has a null group and is kept. Ids must be integers. An empty table gives an empty result.
     """
     if not 0 < least_cosine <= 1:
         raise ValueError("least_cosine must be above 0 and at most 1")
-    own = cut(usable(vectors, id_col, vector_col))
-    distinct = cut(own.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
-    copies = own.join(distinct.withColumnRenamed("id", "first"), "v").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    roots = components(links(distinct, least_cosine, block_dims, leaf_rows, seed).unionByName(copies))
-    key = F.col(id_col).cast("bigint")
-    placed = vectors.select(F.col(id_col), key.alias("_id")).join(roots, F.col("_id") == F.col("node"), "left")
-    group = F.coalesce("root", "_id")
-    return placed.select(F.col(id_col), group.alias("group_id"), F.coalesce(F.col("_id") == group, F.lit(True)).alias("keep"))
+    own = keyed(vectors, id_col, vector_col)
+    # Equal vectors are one; only it is searched for.
+    distinct = cut(own.where("k0 is not null").groupBy("k0", "k1").agg(F.min("id").alias("id"), F.first("v").alias("v")))
+    rows = distinct.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not rows.isEmpty():  # an id with several vectors: each has a number of its own
+        distinct = cut(distinct.withColumn("first", F.col("id")).withColumn("id", F.monotonically_increasing_id()))
+    else:
+        distinct = distinct.withColumn("first", F.col("id"))
+    found = cut(links(distinct.select("id", "v"), least_cosine, block_dims, leaf_rows, seed))
+    checked = similarities(found.where("open").select("a", "b").distinct(), distinct.select("id", "v")).where(F.col("similarity") >= least_cosine)
+    roots = components(found.where("not open").select("a", "b").unionByName(checked.select("a", "b")))
+    placed = cut(distinct.join(roots, distinct["id"] == roots["node"], "left").select("k0", "k1", "first", F.coalesce("root", "id").alias("root")))
+    least = cut(placed.groupBy("root").agg(F.min("first").alias("group_id")))
+    groups = cut(placed.join(least, "root").select("k0", "k1", "group_id"))
+    own = own.select("id", "k0", "k1")
+    every = own.where("k0 is not null").join(groups, ["k0", "k1"]).select("id", "group_id").unionByName(own.where("k0 is null").select("id", F.col("id").alias("group_id")))
+    kind = vectors.schema[id_col].dataType
+    return every.select(F.col("id").cast(kind).alias(id_col), "group_id", F.coalesce(F.col("id") == F.col("group_id"), F.lit(True)).alias("keep"))
 
 
 SQL = """
