@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import map_arrow, shared_dir, slices
 
-ORDER = 6
-CUTOFFS = (1, 1, 1, 1, 2, 2)
+ORDER = 5
+CUTOFFS = (1, 1, 1, 2, 2)
 #: Bytes of text of a part; a longer text is a part for itself.
-PART_BYTES = 16 << 20
+PART_BYTES = 24 << 20
 _KEY = 9 * ORDER
+_HELD = 12_000_000
 _LANE = 512
 
 
@@ -65,7 +66,7 @@ def parted(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> Data
         state = [TaskContext.get().partitionId() << 32, 0]
 
         def step(batch):
-            for piece in slices(batch, 1, part_bytes // 2):
+            for piece in slices(batch, 1, max(1, part_bytes // 8)):
                 size = piece.column(1).nbytes
                 if state[1] and state[1] + size > part_bytes:
                     state[:] = state[0] + 1, 0
@@ -85,18 +86,18 @@ def count_grams(texts: DataFrame) -> DataFrame:
     def run(batches):
         held: dict[int, list] = {}
 
-        def out(part):
-            k, n = held.pop(part)[0], None
-            k = np.sort(np.concatenate(k))
+        def added(keys, counts):
+            k, n = np.concatenate(keys), np.concatenate(counts)
+            by = np.argsort(k, kind="stable")
+            k, n = k[by], n[by]
             first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            k, n = k[first], np.diff(np.r_[first, len(k)])
+            return k[first], np.add.reduceat(n, first)
+
+        def out(part):
+            k, n = added(*zip(*held.pop(part)))
             for order in range(ORDER, 0, -1):
                 if order < ORDER:
-                    k = k & mask(order)
-                    by = np.argsort(k, kind="stable")
-                    k, n = k[by], n[by]
-                    first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-                    k, n = k[first], np.add.reduceat(n, first)
+                    k, n = added([k & mask(order)], [n])
                 for at in range(0, len(k), 1 << 18):
                     own = slice(at, at + (1 << 18))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k[own]), part)), pa.array(k[own] | np.int64(order << _KEY)), pa.array(n[own])], names=["part", "code", "n"])
@@ -107,10 +108,10 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 for part in np.unique(parts):
                     own = [t for t in piece.filter(pa.array(parts == part)).column(1).to_pylist() if t]
                     if own:
-                        k, size = held.setdefault(int(part), [[], 0])
-                        k.append(grams(symbols(own)))
-                        held[int(part)][1] += len(k[-1])
-                if sum(size for _, size in held.values()) > PART_BYTES:
+                        k = np.sort(grams(symbols(own)))
+                        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                        held.setdefault(int(part), []).append((k[first], np.diff(np.r_[first, len(k)])))
+                if sum(len(k) for pieces in held.values() for k, _ in pieces) > _HELD:
                     for part in list(held):
                         yield from out(part)
         for part in list(held):
@@ -308,8 +309,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cu
     if len(cutoffs) != ORDER or list(cutoffs) != sorted(cutoffs):
         raise ValueError(f"cutoffs must be {ORDER} numbers in order")
     texts = parted(docs, id_col, text_col, part_bytes)
-    # Both what is added up and what a part needs come from this one shuffle.
-    counted = count_grams(texts).repartition("code")
+    counted = count_grams(texts)
     needed = counted.join(model(counted, cutoffs), "code").select("part", "code", "c", "total", "kinds")
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes bigint, avg_logprob double"
 
