@@ -8,7 +8,7 @@ from vecloom.operators.validate import InvalidRows
 from vecloom.plans import harness
 from vecloom.sources import dataset as module
 from vecloom.sources import storage
-from vecloom.sources.export import MemorySink
+from vecloom.sources.export import FolderSink, MemorySink
 from vecloom.streaming import ingest
 
 SCHEMA = Schema((Field("id", Kind.INT64, is_primary=True), Field("vector", Kind.FLOAT_VECTOR, dim=4), Field("text", Kind.VARCHAR, max_length=20)))
@@ -38,6 +38,9 @@ def test_end_to_end(store):
     assert {r.id: r.neighbors_id[0] for r in d.get_neighbors().collect()} == {k: k for k in range(10)}
     some = d.compute_neighbors("vector", top_k=3, query_expr="id >= 40", metric_type="l2")
     assert min(min(r.neighbors_id) for r in some.collect()) >= 40
+    with pytest.raises(ValueError):
+        d["neighbors"].frame()
+    assert d["neighbors"].summary()["num_rows"] > 0
     assert d.get_neighbors().first() != d.get_neighbors("id >= 40", "l2").first()
     with pytest.raises(FileNotFoundError):
         d.get_neighbors("id > 1")
@@ -176,6 +179,23 @@ def test_harness(spark):
     assert harness.benchmark_mixed_workload(sink, "c", 5, 5, 4, duration=0.05)["inserts_per_second"] > 0
 
 
+def test_inserts_from_workers_arrive(spark, tmp_path):
+    sink = FolderSink(str(tmp_path / "sink"))
+    result = harness.benchmark_insert(spark, sink, "bench", 500, 4, batch_size=100, num_rounds=1)
+    assert sink.count("bench") == 500 and result["per_second"] > 0
+    sink.create_collection("bench", harness.collection(4))
+    assert sink.count("bench") == 0 and sink.search("bench", [[0.0] * 4], 2) == [[]]
+    sink.insert("bench", [{"id": k, "embedding": [float(k)] * 4} for k in range(5)])
+    assert sink.search("bench", [[3.2] * 4], 2) == [[3, 4]]
+
+
+def test_few_rows_make_few_files(store, spark):
+    d = load_dataset("few", "train", SCHEMA)
+    rows = spark.range(40).selectExpr("id", "array(0f, 0f, 0f, 0f) AS vector", "'x' AS text").repartition(20)
+    d.write(rows)
+    assert d.get_num_files() == 1 and d.get_num_rows() == 40
+
+
 def test_streaming(store, spark):
     valid = Schema((Field("id", Kind.INT64, is_primary=True), Field("text", Kind.VARCHAR, max_length=3)))
     inbox = str(store / "inbox")

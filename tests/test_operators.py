@@ -25,6 +25,10 @@ def test_slices_samples_splits(spark):
     assert len(set(a)) == 9 and a == [r.id for r in prepare.sample(df.repartition(5), "id", 9).collect()]
     train, test = prepare.train_test(df, ["id"], train=30, test=5)
     assert (train.count(), test.count(), train.join(test, "id").count()) == (30, 5, 0)
+    clash = df.select("id", *(F.lit(k).alias(c) for k, c in enumerate(("at", "_at", "part", "own", "n", "before", "_n"))))
+    assert prepare.slice_rows(clash, ["id"], 10, 13).columns == clash.columns
+    assert [c.columns for c in prepare.train_test(clash, ["id"], train=3, test=2, by=["n"])] == [clash.columns] * 2
+    assert prepare.batch_numbers(clash, ["id"], 10, name="batch").columns == [*clash.columns, "batch"]
     both = prepare.union_all([spark.range(2), spark.range(1).withColumn("x", F.lit(1))])
     assert both.count() == 3 and both.columns == ["id", "x"]
 

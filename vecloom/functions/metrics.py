@@ -85,6 +85,24 @@ def correlation(a, b) -> Column:
     return cosine(less(a), less(b))
 
 
+def bray_curtis(a, b) -> Column:
+    """The sum of |x - y| by that of |x + y|, where 0 / 0 is 0."""
+    parts = _fold(_pairs(a, b, lambda x, y: F.abs(x - y))), _fold(_pairs(a, b, lambda x, y: F.abs(x + y)))
+    return F.when(parts[0] == 0, F.lit(0.0)).otherwise(F.try_divide(*parts))
+
+
+def jaccard(a, b) -> Column:
+    """Of the places where a value isn't 0, the share of those that differ; 0 where there are none."""
+    some = _fold(_pairs(a, b, lambda x, y: ((x != 0) | (y != 0)).cast("double")))
+    apart = _fold(_pairs(a, b, lambda x, y: (((x != 0) | (y != 0)) & (x != y)).cast("double")))
+    return F.when(some == 0, F.lit(0.0)).otherwise(F.try_divide(apart, some))
+
+
+def minkowski(a, b, p: float = 2.0) -> Column:
+    """The p-th root of the sum of |x - y| to the power p."""
+    return F.pow(_fold(_pairs(a, b, lambda x, y: F.pow(F.abs(x - y), F.lit(float(p))))), F.lit(1.0 / p))
+
+
 METRICS: dict[str, Callable[..., Column]] = {
     "cosine": cosine,
     "euclidean": l2,
@@ -98,6 +116,9 @@ METRICS: dict[str, Callable[..., Column]] = {
     "canberra": canberra,
     "hamming": hamming,
     "correlation": correlation,
+    "braycurtis": bray_curtis,
+    "jaccard": jaccard,
+    "minkowski": minkowski,
 }
 
 

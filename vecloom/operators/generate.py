@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,9 +54,15 @@ def cluster_vectors(spark: SparkSession, rows: int, dim: int, clusters: int, see
 
 
 def moments(df: DataFrame, vector: str) -> DataFrame:
-    """(at, mean, deviation) of each place of the vectors; the deviation is that of the population."""
-    each = df.select(F.posexplode(vector).alias("at", "x"))
-    return each.groupBy("at").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.stddev_pop(F.col("x").cast("double")).alias("deviation"))
+    """(at, mean, deviation) of each place of the vectors; the deviation is that of the population.
+
+    Vectors are added up as a whole, in each task and then over tasks. Null vectors don't count.
+    """
+    found = df.where(F.col(vector).isNotNull()).select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    one = found.groupBy(F.lit(1)).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s"))
+    share = F.when(F.col("s.count") > 1, (F.col("s.count") - 1) / F.col("s.count")).otherwise(F.lit(0.0))
+    each = one.select(F.posexplode(F.arrays_zip(vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance"))).alias("at", "x"), share.alias("share"))
+    return each.select("at", F.col("x.mean").alias("mean"), F.sqrt(F.col("x.variance") * F.col("share")).alias("deviation"))
 
 
 def standardize(df: DataFrame, vector: str, out: str = "standardized") -> tuple[DataFrame, list[float], list[float]]:

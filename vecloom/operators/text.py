@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecloom.sources.shared import cut
+
 #: Runs of two or more word characters.
 TOKEN = r"[A-Za-z0-9_]{2,}"
 UNICODE_TOKEN = r"(?U)\b\w\w+\b"
@@ -29,19 +31,19 @@ def tfidf(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ma
 
     n counts the rows of docs, those with a null text too. Ids must be unique. Documents without any known term have no rows.
     """
-    counted = terms(docs, id_col=id_col, text_col=text_col, pattern=pattern)
-    known = vocabulary(counted, max_features).crossJoin(docs.agg(F.count(F.lit(1)).alias("n")))
-    idf = known.select("term", (F.ln((F.col("n") + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
+    counted = cut(terms(docs, id_col=id_col, text_col=text_col, pattern=pattern))  # texts are split once
+    rows = docs.count()
+    idf = vocabulary(counted, max_features).select("term", (F.ln((F.lit(rows) + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
     weighed = counted.join(idf, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighed.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighed.join(norms, id_col).select(id_col, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
+    return weighed.select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
 def sparse_vectors(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_features: int = 10_000, pattern: str = TOKEN) -> DataFrame:
     """(id, sparse_embedding): a map from the term's place in the sorted vocabulary to its weight, empty without terms."""
     from vecloom.operators.prepare import dense_ids
 
-    weights = tfidf(docs, id_col=id_col, text_col=text_col, max_features=max_features, pattern=pattern)
+    weights = cut(tfidf(docs, id_col=id_col, text_col=text_col, max_features=max_features, pattern=pattern))
     places = dense_ids(weights.select("term").distinct(), ["term"], name="place")
     maps = weights.join(places, "term").groupBy(id_col).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("place").cast("int").alias("k"), F.col("weight").cast("float").alias("v"))))).alias("sparse_embedding"))
     return docs.select(id_col).join(maps, id_col, "left").select(id_col, F.coalesce("sparse_embedding", F.create_map().cast("map<int,float>")).alias("sparse_embedding"))

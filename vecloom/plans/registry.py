@@ -325,3 +325,20 @@ def tfidf_max_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sparse_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.sparse_vectors(table(spark, sf_dir, "documents"))
+
+
+@query(
+    f"""WITH {_TERMS}, v AS (SELECT *, row_number() OVER (ORDER BY term) - 1 AS place FROM (SELECT * FROM d ORDER BY total DESC, term LIMIT 10000)),
+w AS (SELECT doc_id, place, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)::DOUBLE) + 1) AS w FROM c JOIN v USING (term))
+SELECT doc_id, place::INTEGER AS place, round((w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 4) AS weight FROM w"""
+)
+def sparse_embeddings_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = sparse_embeddings(spark, sf_dir).select("doc_id", F.explode("sparse_embedding").alias("place", "weight"))
+    return each.select("doc_id", "place", F.round(F.col("weight").cast("double"), 4).alias("weight"))
+
+
+for _name, _sql in (
+    ("braycurtis", "list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2]))) / list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] + p[2])))"),
+    ("minkowski", "list_distance(a.v, b.v)"),
+):
+    query(_knn_sql(_sql), f"knn_{_name}")(_knn(_name))

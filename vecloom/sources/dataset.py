@@ -18,6 +18,7 @@ from vecloom.operators import validate
 from vecloom.operators.summary import split_summary
 from vecloom.schema import Schema
 from vecloom.sources import storage
+from vecloom.sources.shared import cut
 from vecloom.sources.storage import Files, StorageConfig, StorageType
 
 log = logging.getLogger("vecloom")
@@ -100,7 +101,15 @@ class Dataset:
     # reading
 
     def frame(self) -> DataFrame:
-        """All rows, lazily. A split that isn't there, or has no file, gives an empty frame of the declared columns."""
+        """All rows, lazily. A split that isn't there, or has no file, gives an empty frame of the declared columns.
+
+        Ground truth of several conditions and metrics is never mixed: get_neighbors() reads one of them.
+        """
+        if self.split not in WRITABLE and len(conditions := self.files.folders(self.path)) > 1:
+            raise ValueError(f"{self.path} holds ground truth of {len(conditions)} conditions and metrics; get_neighbors() reads one")
+        return self._all()
+
+    def _all(self) -> DataFrame:
         schema = self.get_schema()
         if not any(p.endswith(".parquet") for p, _ in self.files.files(self.path)):
             log.warning("%s has no files", self.path)
@@ -137,7 +146,7 @@ class Dataset:
 
     def summary(self) -> dict:
         found = [(p, n) for p, n in self.files.files(self.path) if p.endswith(".parquet")]
-        df = self.frame()
+        df = self._all()
         return {
             "name": self.name,
             "split": self.split,
@@ -154,7 +163,7 @@ class Dataset:
         return self.summary()["schema"]
 
     def get_num_rows(self) -> int:
-        return self.frame().count()
+        return self._all().count()
 
     def get_total_rows(self, split: str | None = None) -> int:
         return Dataset(self.name, split or self.split, config=self.config, spark=self.spark).get_num_rows()
@@ -263,13 +272,17 @@ class DatasetWriter:
             if "Pyspark" in type(e).__name__ or "PySpark" in type(e).__name__:
                 raise validate.InvalidRows(str(e)) from e
             raise
+        # What is checked, measured and written are the same rows, whatever the input does when it runs again.
+        df = cut(df)
         if verify_schema:
             validate.check(df, schema)
             df = validate.conform(df, schema)
         if self._rows is None:
             d.files.make(d.root)
             self._rows = estimate_rows_per_file(df, d.files, d.root, self.target)
-        out = df.write.option("maxRecordsPerFile", self._rows)
+        # Few rows in many partitions would make small files.
+        files = max(1, -(-df.count() // self._rows))
+        out = df.coalesce(files).write.option("maxRecordsPerFile", self._rows)
         if mode == "append":
             out.mode("append").parquet(d.path)
             return
@@ -305,7 +318,7 @@ class DatasetDict(dict):
 
     def summary_frame(self) -> DataFrame:
         """(split, num_rows, num_columns)."""
-        return split_summary({k: d.frame() for k, d in self.items()})
+        return split_summary({k: d._all() for k, d in self.items()})
 
     def __repr__(self) -> str:
         return json.dumps(self.summary(), indent=1)

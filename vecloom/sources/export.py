@@ -79,6 +79,72 @@ class MemorySink(VectorSink):
         return len(self._rows[self.space, name])
 
 
+class FolderSink(VectorSink):
+    """Rows as Parquet files in a folder that all workers reach, so that inserts from workers arrive; searches read them all.
+
+    Each insert is a file of its own, which is there when it is whole.
+    """
+
+    def __init__(self, folder: str, pk: str = "id", vector: str = "embedding"):
+        self.folder, self.pk, self.vector = folder, pk, vector
+
+    def _open(self):
+        import pyarrow.fs as fs
+
+        return fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
+
+    def _files(self, name: str):
+        import pyarrow.fs as fs
+
+        where, root = self._open()
+        found = where.get_file_info(fs.FileSelector(f"{root}/{name}", allow_not_found=True))
+        return where, [f.path for f in found if f.path.endswith(".parquet")]
+
+    def connect(self) -> None:
+        self._open()
+
+    def create_collection(self, name: str, schema: Schema) -> None:
+        where, root = self._open()
+        where.create_dir(f"{root}/{name}", recursive=True)
+        where.delete_dir_contents(f"{root}/{name}")
+
+    def insert(self, name: str, rows: list[dict]) -> int:
+        import uuid
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        where, root = self._open()
+        where.create_dir(f"{root}/{name}", recursive=True)
+        at = f"{root}/{name}/{uuid.uuid4().hex}"
+        with where.open_output_stream(f"{at}.part") as f:
+            pq.write_table(pa.Table.from_pylist(rows), f)
+        where.move(f"{at}.part", f"{at}.parquet")
+        return len(rows)
+
+    def bulk_import(self, name: str, files: list[str]) -> str:
+        import pyarrow.parquet as pq
+
+        for f in files:
+            self.insert(name, pq.read_table(f.removeprefix("file:").replace("//", "/")).to_pylist())
+        return files[0]
+
+    def search(self, name: str, vectors: list[list[float]], k: int) -> list[list[int]]:
+        import pyarrow.parquet as pq
+
+        where, files = self._files(name)
+        rows = [r for f in sorted(files) for r in pq.read_table(f, filesystem=where).to_pylist()]
+        ids = np.array([r.get(self.pk, at) for at, r in enumerate(rows)])
+        x = np.array([r[self.vector] for r in rows], float)
+        return [ids[np.lexsort((ids, ((x - np.array(v)) ** 2).sum(1)))[:k]].tolist() if rows else [] for v in vectors]
+
+    def count(self, name: str) -> int:
+        import pyarrow.parquet as pq
+
+        where, files = self._files(name)
+        return sum(pq.read_metadata(f, filesystem=where).num_rows for f in files)
+
+
 def insert_frame(df, sink: VectorSink, name: str, batch_rows: int = 1000) -> int:
     """Sends df from the workers in batches; the number of rows that the sink took. A failed task fails the job.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a folder of this machine only where spark.checkpoint.dir is unset."""
+    """The session's checkpoint folder; where spark.checkpoint.dir is unset, a folder of this machine in local mode only."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"vecloom-{uuid.uuid4().hex}"))
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), f"vecloom-{uuid.uuid4().hex}"))
     return sc.getCheckpointDir()
 
 

@@ -178,7 +178,12 @@ def _filesystem(path: str, kind: str, options: dict):
         own = {"access_key": pick("access_key"), "secret_key": pick("secret_key"), "session_token": pick("token"), "region": pick("region"), "endpoint_override": end}
         return fs.S3FileSystem(**{k: v for k, v in own.items() if v is not None}), path.split("://", 1)[1]
     if kind == "gcs":
-        return fs.GcsFileSystem(), path.split("://", 1)[1]
+        own = {k: flat.get(k) for k in ("anonymous", "access_token", "credential_token_expiration", "target_service_account", "project_id")}
+        own["project_id"] = own["project_id"] or flat.get("project")
+        end = pick("endpoint")
+        if end:
+            own["scheme"], own["endpoint_override"] = end.split("://", 1) if "://" in end else ("https", end)
+        return fs.GcsFileSystem(**{k: v for k, v in own.items() if v is not None}), path.split("://", 1)[1]
     return fs.LocalFileSystem(), "/" + path.split(":", 1)[-1].lstrip("/")
 
 
