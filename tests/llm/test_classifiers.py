@@ -80,8 +80,8 @@ def test_toxicity_is_brute_force(spark):
         z = []
         for p in parts:
             own = {f for w in re.findall(r"\w+", p.lower()) for f in [w] + [w[:k] + "*" for k in toxicity.PREFIXES if len(w) > k]}
-            z.append(sum(model.weights.get(f, 0) for f in own) + model.bias)
-        p = 1 - np.prod(1 - 1 / (1 + np.exp(-np.array(z)))) if z else 0.0
+            z.append(max(0, sum(model.weights.get(f, 0) for f in own)) + model.bias)
+        p = 1 - np.prod([(1 - 1 / (1 + np.exp(-x))) * (1 + np.exp(model.bias)) for x in z]) if z else 0.0
         assert abs(got[r.doc_id].toxicity - p) < 1e-5
         if abs(p - model.threshold) > 1e-5:
             assert got[r.doc_id].toxic == (p >= model.threshold)
@@ -120,12 +120,19 @@ def test_offending_sentences(spark):
             parts = toxicity.sentences(rows[r.doc_id][1])
             assert [parts[i] for i in r.offending_at] == r.offending
             z = model.logits(parts)
-            assert abs(r.toxicity - (1 - np.prod(1 - 1 / (1 + np.exp(-z))))) < 1e-5  # the noisy-or
+            p = 1 / (1 + np.exp(-np.maximum(z, model.bias)))
+            assert abs(r.toxicity - (1 - np.prod((1 - p) * (1 + np.exp(model.bias))))) < 1e-5  # the noisy-or
 
 
 WORDS_ = ["day", "part", "oil"]
 
 
+def test_long_texts_are_not_toxic_by_length():
+    model = toxicity.Model({"vile": 12.0}, -6.0, 0.5)
+    assert not model.judge("A word. " * 50_000)[1] and model.judge("A word. " * 50_000 + "A vile one.")[1]
+    assert not toxicity.Model({}, 0.5, 0.5).judge("A word. " * 10)[1]
+
+
 def test_toxicity_edges(spark):
     rows = edge_rows()
     docs = documents(spark, rows)

@@ -67,8 +67,8 @@ class Model:
         parts = sentences(text) if text else []
         if not parts:
             return 0.0, False, [], []
-        z = self.logits(parts)
-        whole = float(-np.expm1(-np.logaddexp(0, z).sum()))
+        z = np.maximum(self.logits(parts), self.bias)
+        whole = float(-np.expm1(len(z) * np.logaddexp(0, self.bias) - np.logaddexp(0, z).sum()))
         if whole < self.threshold:
             return whole, False, [], []
         at = np.flatnonzero(z >= min(0.0, z.max() - 1))
@@ -177,7 +177,8 @@ def fit(
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, toxicity, toxic, offending_at, offending) for each row of docs; other columns are not looked at.
 
-    toxicity is the noisy-or of the scores of all sentences. A document is toxic if that reaches the threshold, be it by
+    toxicity is the noisy-or of the scores of all sentences, less that of as many sentences without any feature, so that a
+    document isn't toxic by its length alone. A document is toxic if that reaches the threshold, be it by
     many sentences of which none is likely toxic for itself. offending_at holds the places, counted from 0, of the sentences
     that are likely toxic or near the worst one (a logit of 0, or of the largest less 1), and offending their texts; both
     are empty for other documents. Null, empty and blank texts have toxicity 0 and are not toxic. Repeated rows give
