@@ -101,3 +101,33 @@ def test_float32_orders_by_rounded(spark):
     test = rows(spark, [[0]])
     assert result(knn.knn(test, train, vector="v", metric="l2"))[0] == [2, 1]
     assert result(knn.knn(test, train, vector="v", metric="l2", precision="float32"))[0] == [1, 2]
+
+
+@pytest.mark.parametrize("name", ["canberra", "braycurtis", "minkowski", "l1", "chebyshev", "cosine", "l2", "ip"])
+def test_kernel_has_metric_and_bounds_are_safe(spark, name):
+    """No metric falls back to a cross join of expressions, and tiles of rows of many sizes, ties and odd values lose nothing."""
+    assert name in knn.KERNEL
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(700, 9)) * 10.0 ** rng.integers(-3, 3, size=(700, 1))
+    x[50:90] = x[:40]
+    x[90], x[91], x[92], x[93] = 0, 1e-40, 1e200, x[94] * (1 + 1e-9)
+    a = rows(spark, x)
+    with np.errstate(all="ignore"):
+        want = brute(x, x, 12, name)
+    assert result(knn.knn(a, a, vector="v", k=12, metric=name, strategy="kernel", tile_rows=300)) == want
+
+
+def test_kernel_of_equal_rows_is_bounded():
+    import pyarrow as pa
+
+    state = knn._Nearest(np.arange(300), pa.array(range(300)), np.ones((300, 4)), 3, "l1", "double")
+    for _ in range(3):
+        state.add(pa.array(range(2000)), np.ones((2000, 4)))
+        assert sum(len(a) for a, _, _ in state.found) <= 300 * 3 * 16
+    assert [r["t_id"] for b in state.batches() for r in b.to_pylist()][:3] == [0, 0, 0]
+
+
+def test_plan_of_kernel_broadcasts_nothing(spark):
+    a = rows(spark, np.eye(4))
+    plan = knn.knn(a, a, vector="v", k=1, metric="braycurtis")._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "MapInArrow" in plan and "BroadcastExchange" not in plan
