@@ -131,3 +131,17 @@ def test_plan_of_kernel_broadcasts_nothing(spark):
     a = rows(spark, np.eye(4))
     plan = knn.knn(a, a, vector="v", k=1, metric="braycurtis")._jdf.queryExecution().toString()
     assert "CartesianProduct" in plan and "MapInArrow" in plan and "BroadcastExchange" not in plan
+
+
+def test_pairwise_against_expressions(spark):
+    """Pairs come from tiles; near and equal rows keep their digits, and odd vectors have null distances."""
+    from vecloom.functions import metrics
+
+    x = np.random.default_rng(2).normal(size=(60, 5)) * 50
+    x[7], x[8], x[9] = x[6], x[6] + 3e-6, 0
+    a = rows(spark, x).union(spark.createDataFrame([(100, [1.0]), (101, None), (102, [1.0, None, 1.0, 1.0, 1.0])], SCHEMA))
+    got = knn.pairwise(a, a, vector="v", pk="id", digits=6, tile_rows=16)
+    b = a.select(F.col("id").alias("a_id"), F.col("v").alias("p")).crossJoin(a.select(F.col("id").alias("b_id"), F.col("v").alias("q")))
+    want = b.select("a_id", "b_id", F.round(metrics.cosine("p", "q"), 6).alias("cosine"), F.round(metrics.l2("p", "q"), 6).alias("l2"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "CartesianProduct" in got._jdf.queryExecution().toString()
