@@ -85,3 +85,17 @@ def test_standardize_pca_mixture(spark):
     weights, means, covariances = generate.mixture(df, "embedding", 3)
     drawn = np.stack(generate.mixture_sample(spark, weights, means, covariances, 3000).toPandas().embedding)
     np.testing.assert_allclose(drawn.mean(0), np.stack(df.toPandas().embedding).mean(0), atol=1.5)
+
+
+def test_tfidf_with_few_known_terms(spark, monkeypatch):
+    """A vocabulary beyond what workers hold is joined, with the same weights; one that they hold needs no shuffle of texts."""
+    docs = spark.createDataFrame([(1, "the cat the dog_1"), (2, "cat naps"), (3, None), (4, "a"), (5, "rare words the")], "doc_id bigint, text string")
+    want = {(r.doc_id, r.term): r.weight for r in text.tfidf(docs, max_features=None).collect()}
+    plan = text.tfidf(docs, max_features=2)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    assert "Exchange" not in text.sparse_vectors(docs)._jdf.queryExecution().toString()
+    sparse = {r.doc_id: r.sparse_embedding for r in text.sparse_vectors(docs).collect()}
+    monkeypatch.setattr(text, "_KNOWN", 2)
+    got = {(r.doc_id, r.term): r.weight for r in text.tfidf(docs, max_features=None).collect()}
+    assert got.keys() == want.keys() and len(got) == 8 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert {r.doc_id: r.sparse_embedding for r in text.sparse_vectors(docs).collect()} == sparse
