@@ -145,3 +145,29 @@ def test_pairwise_against_expressions(spark):
     want = b.select("a_id", "b_id", F.round(metrics.cosine("p", "q"), 6).alias("cosine"), F.round(metrics.l2("p", "q"), 6).alias("l2"))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "CartesianProduct" in got._jdf.queryExecution().toString()
+
+
+def _odd_rows():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(700, 6)) * 10.0 ** rng.integers(-2, 2, size=(700, 1))
+    x[50:90] = x[:40]
+    x[90], x[91], x[92] = 0, 1e200, np.nan
+    return x
+
+
+def _native_is_limited(spark, name):
+    """Few pairs leave the product, for its condition holds distances to limits; ties, odd values and repeated keys lose nothing."""
+    x = _odd_rows()
+    a = rows(spark, x)
+    got = knn.knn(a, a, vector="v", k=12, metric=name, strategy="native")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct (isnull(limit" in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan and "InArrow" not in plan
+    with np.errstate(all="ignore"):
+        assert result(got) == brute(x, x, 12, name)
+    one = rows(spark, x, [7] * len(x))  # no part of train can be chosen by its key
+    each = [sorted((r.row, r.rk) for r in knn.knn(a, t, vector="v", k=12, metric=name, strategy="native").collect()) for t in (a, one)]
+    assert each[0] == each[1] and len(each[0]) == 12 * len(x)
+
+
+def test_native_cosine_is_limited(spark):
+    _native_is_limited(spark, "cosine")

@@ -1,11 +1,13 @@
 """Distances between array columns, as expressions that stay in the JVM.
 
-All accumulate in double. Arrays of unequal lengths give null; null arrays and null elements too.
+All accumulate in double. Arrays of unequal lengths give null; null arrays and null elements too. Those in UNROLLED also take two
+lists of as many columns in double, one for each dimension; such an expression has no loop and is compiled as a whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,11 +17,21 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _fold(values: Column, step: Callable[[Column, Column], Column] = lambda acc, x: acc + x) -> Column:
-    return F.aggregate(values, F.lit(0.0), step)
+def _size(a) -> Column:
+    return F.lit(len(a)) if isinstance(a, list) else F.size(_col(a))
 
 
-def _pairs(a, b, term: Callable[[Column, Column], Column]) -> Column:
+def _fold(values: Column | list[Column], step: Callable[[Column, Column], Column] = lambda acc, x: acc + x) -> Column:
+    if not isinstance(values, list):
+        return F.aggregate(values, F.lit(0.0), step)
+    while len(values) > 1:  # a flat tree
+        values = [reduce(step, values[i : i + 4]) for i in range(0, len(values), 4)]
+    return values[0] if values else F.lit(0.0)
+
+
+def _pairs(a, b, term: Callable[[Column, Column], Column]) -> Column | list[Column]:
+    if isinstance(a, list):
+        return [term(x, y) for x, y in zip(a, b, strict=True)]
     a, b = _col(a), _col(b)
     terms = F.zip_with(a, b, lambda x, y: term(x.cast("double"), y.cast("double")))
     return F.when(F.size(a) == F.size(b), terms)
@@ -75,7 +87,7 @@ def canberra(a, b) -> Column:
 
 def hamming(a, b) -> Column:
     """The share of places whose values differ; 0 for empty arrays."""
-    return F.coalesce(F.try_divide(_fold(_pairs(a, b, lambda x, y: (x != y).cast("double"))), F.size(_col(a)).cast("double")), F.when(F.size(_col(a)) == 0, F.lit(0.0)))
+    return F.coalesce(F.try_divide(_fold(_pairs(a, b, lambda x, y: (x != y).cast("double"))), _size(a).cast("double")), F.when(_size(a) == 0, F.lit(0.0)))
 
 
 def correlation(a, b) -> Column:
@@ -120,6 +132,8 @@ METRICS: dict[str, Callable[..., Column]] = {
     "jaccard": jaccard,
     "minkowski": minkowski,
 }
+#: Those that take lists of columns.
+UNROLLED = set(METRICS) - {"correlation"}
 
 
 def metric(name: str) -> Callable[..., Column]:

@@ -2,22 +2,24 @@
 
 Distances are ascending and ties go by the train key. The kernel strategy packs rows into tiles; each task holds one tile of
 queries, streams tiles of train past it and keeps k candidates a query. Bounds of distances come from matrix products in
-single precision; what they can't exclude is computed in double. The native strategy is a cross join of expressions and needs
-no Python. Both end in a window whose limit is applied before and after the shuffle by query.
+single precision; what they can't exclude is computed in double. The native strategy needs no Python: a Cartesian product of
+bounded partitions whose condition is the distance, with one column a dimension. The k nearest in a part of train limit each
+query, so that few pairs leave the product. Both end in a window whose limit is applied before and after the shuffle by query.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecloom.functions.metrics import l2_norm, metric as metric_column
+from vecloom.functions.metrics import UNROLLED, l2_norm, metric as metric_column
 from vecloom.sources.shared import cut
 
 #: Metrics that the kernel has.
@@ -28,6 +30,8 @@ _PRODUCTS = {"cosine", "euclidean", "l2", "sqeuclidean", "ip", "inner_product",
 _HELD, _NEAR = 1 << 21, 1 << 10
 #: Cells a dimension for Canberra and rows that they are cut for, tiles of train in a partition, rows of the first part of a tile.
 _CELLS, _FITTED, _TILES, _FIRST = 12, 2048, 8, 128
+#: The native strategy: most columns of a vector, rows of train that a task holds, most times that a part of train is larger than the one before.
+_COLUMNS, _SIDE, _GROWTH = 256, 1 << 10, 24
 
 
 def _exact(q: np.ndarray, t: np.ndarray, name: str) -> np.ndarray:
@@ -368,7 +372,7 @@ def knn(
     if k < 1:
         raise ValueError("k must be positive")
     name = metric.lower()
-    column = metric_column(name)
+    metric_column(name)  # known?
     if precision not in ("double", "float32"):
         raise ValueError("precision is double or float32")
     if strategy not in ("auto", "kernel", "native"):
@@ -380,19 +384,53 @@ def knn(
     queries = _checked(test, pk, vector, dim).withColumn("row", F.monotonically_increasing_id())
     rows = _checked(train, pk, vector, dim)
     if strategy == "native" or (strategy == "auto" and name not in KERNEL):
-        left, right = cut(queries).withColumn("n", l2_norm("v")), rows.withColumn("n", l2_norm("v"))
-        left = left.select("row", F.col("pk").alias("q_id"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-        right = right.select(F.col("pk").alias("t_id"), F.col("v").alias("tv"), F.col("n").alias("tn"))
-        distance = column("qv", "tv", "qn", "tn") if name == "cosine" else column("qv", "tv")
-        found = right.crossJoin(left).select("row", "q_id", "t_id", distance.alias("distance"))
+        found = _native(queries, rows, dim, k, name, precision, tile_rows)
     else:
         if name not in KERNEL:
             raise ValueError(f"the kernel has no metric {metric!r}")
         found = _kernel(queries, rows, dim or 0, k, name, precision, tile_rows)
     if precision == "float32":
         found = found.withColumn("distance", F.col("distance").cast("float"))
+    return _ranked(found, k).select("row", "q_id", "rk", "t_id", "distance")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("row").orderBy(F.asc_nulls_last("distance"), "t_id")
-    return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("row", "q_id", "rk", "t_id", "distance")
+    return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+
+
+def _native(queries: DataFrame, rows: DataFrame, dim: int | None, k: int, name: str, precision: str, tile_rows: int) -> DataFrame:
+    """Candidates that hold the k nearest of each query, from expressions only.
+
+    The parts of train hold each other and the last one is the whole: a row that is farther than the kth of a part isn't among
+    the k nearest. Parts are chosen by a hash of the key; keys that repeat make limits worse, not results.
+    """
+    flat = dim is not None and dim <= _COLUMNS and name in UNROLLED
+
+    def side(df: DataFrame, keys: list[Column], c: str) -> DataFrame:
+        vector = [F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)).alias(f"{c}{i}") for i in range(dim)] if flat else [F.col("v").alias(c)]  # checked; coalesce only tells that they aren't null
+        return cut(df.select(*keys, *vector, *([l2_norm("v").alias(f"{c}_norm")] if name == "cosine" else [])))
+
+    left = side(queries, [F.col("row"), F.col("pk").alias("q_id")], "q")
+    right = side(rows, [F.col("pk").alias("t_id")], "t")
+    vectors = [[F.col(f"{c}{i}") for i in range(dim)] for c in "qt"] if flat else ["q", "t"]
+    distance = metric_column(name)(*vectors, *(["q_norm", "t_norm"] if name == "cosine" else []))
+    if precision == "float32":
+        distance = distance.cast("float")
+    n, m, first = left.count(), right.count(), max(_FIRST, 4 * k)
+    n_left = max(1, -(-n // tile_rows_of(left, n, tile_rows)))
+    rounds = math.ceil(math.log(m / first, _GROWTH)) if m > 4 * first else 0
+    for i in range(rounds + 1):
+        share = (first / m) ** (1 - i / rounds) if i < rounds else 1
+        part = right.where(F.pmod(F.xxhash64("t_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if i < rounds else right
+        pairs = left.repartition(n_left).hint("shuffle_replicate_nl").crossJoin(part.repartition(max(1, math.ceil(m * share / _SIDE))))
+        if i:
+            pairs = pairs.where(F.col("limit").isNull() | (distance <= F.col("limit")))  # becomes the product's condition
+        found = pairs.select("row", "q_id", "t_id", distance.alias("distance"))
+        if i < rounds:
+            limits = _ranked(found, k).where(F.col("rk") == k).select("row", F.col("distance").alias("limit"))
+            left = cut(left.drop("limit").join(limits, "row", "left"))
+    return found
 
 
 def _kernel(queries: DataFrame, rows: DataFrame, dim: int, k: int, name: str, precision: str, tile_rows: int) -> DataFrame:
