@@ -171,3 +171,7 @@ def _native_is_limited(spark, name):
 
 def test_native_cosine_is_limited(spark):
     _native_is_limited(spark, "cosine")
+
+
+def test_native_l2_is_limited(spark):
+    _native_is_limited(spark, "l2")
