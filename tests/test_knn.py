@@ -175,3 +175,39 @@ def test_native_cosine_is_limited(spark):
 
 def test_native_l2_is_limited(spark):
     _native_is_limited(spark, "l2")
+
+
+@pytest.mark.parametrize("name", ["cosine", "l2", "sqeuclidean", "ip"])
+def test_native_products_compare_no_pairs_by_expressions(spark, name):
+    """Where the kth neighbour is told apart in single precision, no pair meets the product of expressions."""
+    x = np.random.default_rng(21).normal(size=(700, 8))
+    a = rows(spark, x)
+    got = knn.knn(a, a, vector="v", k=12, metric=name, strategy="native")
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+    assert result(got) == brute(x, x, 12, name)
+
+
+@pytest.mark.parametrize("name", ["cosine", "l2", "ip"])
+def test_native_products_lose_no_near_or_equal_rows(spark, name):
+    """Single precision can't tell some rows apart, others are equal, of odd size or long; both precisions."""
+    x = _odd_rows()
+    x[100:160] = x[99] * (1 + 1e-10 * np.arange(60)[::-1, None])  # more than are wanted, the nearest last
+    x[160:220] = x[159]
+    x[220] *= 1e9
+    x[221] = 1e-120
+    a = rows(spark, x)
+    with np.errstate(all="ignore"):
+        want = brute(x, x, 5, name)
+    got = knn.knn(a, a, vector="v", k=5, metric=name, strategy="native")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+    distances = lambda df: sorted((r.row, r.rk, r.distance) for r in df.select("row", "rk", "distance").collect())
+    rounded = [distances(knn.knn(a, a, vector="v", k=5, metric=name, strategy=s, precision="float32")) for s in ("native", "kernel")]
+    np.testing.assert_allclose(*[[r[2] for r in d] for d in rounded], rtol=1e-5, atol=1e-6)
+    found = result(got)
+    if name == "l2":
+        assert found == want
+    else:  # the last digits of equal distances differ by the order of sums
+        for q, t in found.items():
+            d = [knn._exact(x[[q] * 5], x[i], name) for i in (t, want[q])]
+            np.testing.assert_allclose(*d, rtol=1e-12, atol=1e-12)

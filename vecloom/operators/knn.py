@@ -2,9 +2,12 @@
 
 Distances are ascending and ties go by the train key. The kernel strategy packs rows into tiles; each task holds one tile of
 queries, streams tiles of train past it and keeps k candidates a query. Bounds of distances come from matrix products in
-single precision; what they can't exclude is computed in double. The native strategy needs no Python: a Cartesian product of
-bounded partitions whose condition is the distance, with one column a dimension. The k nearest in a part of train limit each
-query, so that few pairs leave the product. Both end in a window whose limit is applied before and after the shuffle by query.
+single precision; what they can't exclude is computed in double. The native strategy needs no Python. Where distances follow
+from inner products, Spark ML's blocked products in single precision give each query more than k likely rows; their distances
+are computed in double, and a bound of the products' errors tells whether any other row could be among the k nearest. Queries of
+which that isn't sure, and all other metrics, go through a Cartesian product of bounded partitions whose condition is the
+distance, with one column a dimension; the k nearest found before limit each query, so that few pairs leave the product. Both
+strategies end in a window whose limit is applied before and after the shuffle by query.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ _HELD, _NEAR = 1 << 21, 1 << 10
 _CELLS, _FITTED, _TILES, _FIRST = 12, 2048, 8, 128
 #: The native strategy: most columns of a vector, rows of train that a task holds, most times that a part of train is larger than the one before.
 _COLUMNS, _SIDE, _GROWTH = 256, 1 << 10, 24
+#: Rows of train in a partition for its products.
+_STREAMED = 1 << 16
 
 
 def _exact(q: np.ndarray, t: np.ndarray, name: str) -> np.ndarray:
@@ -400,39 +405,115 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def _native(queries: DataFrame, rows: DataFrame, dim: int | None, k: int, name: str, precision: str, tile_rows: int) -> DataFrame:
-    """Candidates that hold the k nearest of each query, from expressions only.
+    """Candidates that hold the k nearest of each query, without Python.
 
-    The parts of train hold each other and the last one is the whole: a row that is farther than the kth of a part isn't among
-    the k nearest. Parts are chosen by a hash of the key; keys that repeat make limits worse, not results.
+    Without products, parts of train hold each other and the last one is the whole: a row that is farther than the kth of a part
+    isn't among the k nearest. Parts are chosen by a hash of the key; keys that repeat make limits worse, not results.
     """
     flat = dim is not None and dim <= _COLUMNS and name in UNROLLED
+    norms = name in _PRODUCTS
 
     def side(df: DataFrame, keys: list[Column], c: str) -> DataFrame:
         vector = [F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)).alias(f"{c}{i}") for i in range(dim)] if flat else [F.col("v").alias(c)]  # checked; coalesce only tells that they aren't null
-        return cut(df.select(*keys, *vector, *([l2_norm("v").alias(f"{c}_norm")] if name == "cosine" else [])))
+        return cut(df.select(*keys, *vector, *([l2_norm("v").alias(f"{c}_norm")] if norms else [])))
 
     left = side(queries, [F.col("row"), F.col("pk").alias("q_id")], "q")
-    right = side(rows, [F.col("pk").alias("t_id")], "t")
+    right = side(rows, [F.monotonically_increasing_id().alias("at"), F.col("pk").alias("t_id")], "t")
     vectors = [[F.col(f"{c}{i}") for i in range(dim)] for c in "qt"] if flat else ["q", "t"]
     distance = metric_column(name)(*vectors, *(["q_norm", "t_norm"] if name == "cosine" else []))
     if precision == "float32":
         distance = distance.cast("float")
     n, m, first = left.count(), right.count(), max(_FIRST, 4 * k)
-    n_left = max(1, -(-n // tile_rows_of(left, n, tile_rows)))
+    tile = tile_rows_of(left, n, tile_rows)
+    if norms and dim and m > 4 * first and max(n, m) < 1 << 31:
+        arrays = [F.array(*v) if flat else F.col(v) for v in vectors]
+        return _by_products(left, right, arrays, distance, dim, k, name, n, m, tile)
     rounds = math.ceil(math.log(m / first, _GROWTH)) if m > 4 * first else 0
     for i in range(rounds + 1):
         share = (first / m) ** (1 - i / rounds) if i < rounds else 1
         part = right.where(F.pmod(F.xxhash64("t_id"), F.lit(1 << 30)) < int(share * (1 << 30))) if i < rounds else right
-        pairs = left.repartition(n_left).hint("shuffle_replicate_nl").crossJoin(part.repartition(max(1, math.ceil(m * share / _SIDE))))
-        if i:
-            pairs = pairs.where(F.col("limit").isNull() | (distance <= F.col("limit")))  # becomes the product's condition
-        found = pairs.select("row", "q_id", "t_id", distance.alias("distance"))
+        found = _product(left, -(-n // tile), part, m * share, distance)
         if i < rounds:
             limits = _ranked(found, k).where(F.col("rk") == k).select("row", F.col("distance").alias("limit"))
             left = cut(left.drop("limit").join(limits, "row", "left"))
     return found
 
 
+def _product(left: DataFrame, n_left: int, right: DataFrame, m: float, distance: Column) -> DataFrame:
+    """Pairs with their distances, which are at most left's limit where it has one; about m rows on the right."""
+    pairs = left.repartition(max(1, n_left)).hint("shuffle_replicate_nl").crossJoin(right.repartition(max(1, math.ceil(m / _SIDE))))
+    if "limit" in left.columns:
+        pairs = pairs.where(F.col("limit").isNull() | (distance <= F.col("limit")))  # becomes the product's condition
+    return pairs.select("row", "q_id", "t_id", distance.alias("distance"))
+
+
+def _by_products(left: DataFrame, right: DataFrame, arrays: list[Column], distance: Column, dim: int, k: int, name: str, n: int, m: int, tile: int) -> DataFrame:
+    """Candidates of each query: those of the largest inner products if it is sure that no other row is as near, else of _product().
+
+    Products are of rows of usual size. For cosine vectors are divided by their norms. For L2 they get one place more, 1 and less
+    half the square, so that the product falls as the distance grows.
+    """
+    apart = name not in ("cosine", "ip", "inner_product")
+    usual = lambda c: (F.col(f"{c}_norm") == 0) | F.col(f"{c}_norm").between(1e-100, 1e15)
+    left, right = _numbered(left, "row", "q_at"), _numbered(right, "at", "t_at")
+
+    def features(df: DataFrame, c: str, v: Column, more: Column) -> DataFrame:
+        if name == "cosine":
+            v = F.transform(v, lambda x: x / F.when(F.col(f"{c}_norm") == 0, 1.0).otherwise(F.col(f"{c}_norm")))
+        return df.where(usual(c)).select(F.col(f"{c}_at").alias("id"), (F.concat(v, F.array(more)) if apart else v).cast("array<float>").alias("features"))
+
+    q = features(left, "q", arrays[0], F.lit(1.0)).repartition(-(-n // tile) or 1)
+    t = features(right, "t", arrays[1], -F.col("t_norm") * F.col("t_norm") / 2).repartition(-(-m // _STREAMED))
+    wanted = k + max(6, k // 2)  # a few more than k, so that the last is surely farther than the kth
+    near = F.col("near")
+    most = _largest_products(q, t, dim + apart, wanted).select("q_at", F.when(F.size(near) == wanted, F.array_min(near["rating"]).cast("double")).alias("least"), F.explode(near["t_at"]).alias("t_at"))
+    pairs = most.join(right, "t_at").join(left, "q_at").select("row", "q_id", "t_id", distance.alias("distance"), "least", "q_norm")
+    best = cut(_ranked(pairs, k))  # with the same expression as in the product, so that a limit doesn't exclude its own row
+
+    # Of rows that aren't among the wanted, no product in single precision is above the least.
+    longest, odd = right.agg(F.max(F.when(usual("t"), F.col("t_norm"))), F.count_if(~usual("t"))).first()
+    limit, norm, longest = F.col("distance").cast("double"), F.col("q_norm"), F.lit(longest or 0.0)
+    if name == "cosine":
+        bound, size, slack = 1 - limit, F.lit(1.0), F.lit(1e-6)
+    elif not apart:
+        bound, size, slack = -limit, norm * longest, 1e-6 * F.abs(limit)
+    else:
+        square = limit if name == "sqeuclidean" else limit * limit
+        longest = F.least(longest, (norm + F.sqrt(square)) * (1 + 1e-6))  # a longer row is farther
+        bound, size, slack = (norm * norm - square) / 2, norm * longest + longest * longest / 2, 1e-6 * (norm * norm + square)
+    wrong = (dim + 8) * 2.0**-23 * size + slack + 1e-30 * (1 + norm + longest)
+    sure = F.col("least").isNull() | (F.col("least") + wrong < bound)
+    limits = best.where(F.col("rk") == k).select("row", F.col("distance").alias("limit"), sure.alias("sure"))
+    known = left.join(limits, "row", "left")
+    found = best.join(limits.where("sure"), "row", "left_semi").select("row", "q_id", "t_id", "distance")
+    unsure = cut(known.where("not coalesce(sure, false)"))
+    if count := unsure.count():
+        found = found.unionByName(_product(unsure, -(-count // tile), right, m, distance))
+    if odd:
+        found = found.unionByName(_product(known.where("sure"), -(-n // tile), right.where(~usual("t")), odd, distance))
+    return found
+
+
+def _numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df, which is cut, with dense integers from its monotonically increasing numbers."""
+    part = F.shiftright(by, 33)
+    sizes = dict(df.groupBy(part).count().collect())
+    before = np.cumsum([0, *(sizes.get(i, 0) for i in range(max(sizes, default=0)))]).tolist()
+    return df.withColumn(name, (F.col(by).bitwiseAND(F.lit((1 << 33) - 1)) + F.get(F.lit(before), part.cast("int"))).cast("int"))
+
+
+def _largest_products(q: DataFrame, t: DataFrame, dim: int, wanted: int) -> DataFrame:
+    """(q_at, near): for each row of q those of t with the largest inner products, as (t_at, rating), from (id, features) each.
+
+    This is how Spark ML recommends items: blocks of q meet blocks of t in a Cartesian product and only the wanted ones of each leave it.
+    """
+    spark = q.sparkSession
+    model = spark._jvm.org.apache.spark.ml.recommendation.ALSModel("products", dim, q._jdf, t._jdf)
+    model.setUserCol("q_at")
+    model.setItemCol("t_at")
+    return DataFrame(model.recommendForAllUsers(wanted), spark).withColumnRenamed("recommendations", "near")
+
+
 def _kernel(queries: DataFrame, rows: DataFrame, dim: int, k: int, name: str, precision: str, tile_rows: int) -> DataFrame:
     """Candidates that hold the k nearest of each query. A task's memory doesn't grow with either table."""
     q_type, t_type = queries.schema["pk"].dataType.simpleString(), rows.schema["pk"].dataType.simpleString()
