@@ -211,3 +211,12 @@ def test_native_products_lose_no_near_or_equal_rows(spark, name):
         for q, t in found.items():
             d = [knn._exact(x[[q] * 5], x[i], name) for i in (t, want[q])]
             np.testing.assert_allclose(*d, rtol=1e-12, atol=1e-12)
+
+
+def test_native_products_fold_equal_vectors(spark):
+    """More copies of each vector than are wanted don't send queries to the product of expressions; ties go by key."""
+    x = np.tile(np.random.default_rng(22).normal(size=(40, 6)), (20, 1))
+    a = rows(spark, x)
+    got = knn.knn(a, a, vector="v", k=12, metric="l2", strategy="native")
+    assert "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+    assert result(got) == brute(x, x, 12, "l2")
